@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +34,31 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows as Parquet to the shared folder and returns them read again.
 
     It ends the lineage, so a lost executor costs no more than rereading files, and it keeps what
-    several later plans use from being computed for each of them.
+    several later plans use from being computed for each of them. Then the driver collects its garbage,
+    which lets Spark delete shuffle files of plans that ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Limits Arrow batches, as single texts can be long."""
+def for_python(spark: SparkSession, rows: int = 500) -> None:
+    """Readies a session for the operators that run Python on executors.
+
+    It limits Arrow batches, as single texts can be long, and sends this package along once, for
+    clusters where it isn't installed.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if not getattr(sc, "_quillgraph_sent", False) and package.is_dir():
+        path = os.path.join(tempfile.mkdtemp(prefix="quillgraph-"), f"{package.name}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(path)
+        sc._quillgraph_sent = True
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, quality, secret_scan, sharding, toxicity
-from .common import small_batches, table
+from . import bpe, embeddings, license_scan, minhash, mixing, quality, repeats, secret_scan, sharding, toxicity
+from .common import for_python, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for_python(spark, 5000)
+    return embeddings.similarity_components(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for_python(spark)
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, a probability for each category of the chain, rejected, kept."""
-    small_batches(spark)
+    for_python(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain, names = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(docs, chain, names)
@@ -28,7 +39,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    for_python(spark)
     scored = quality.score_quality(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_p")
 
@@ -41,7 +52,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    small_batches(spark)
+    for_python(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -63,14 +74,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for_python(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
+    "op10_minhash": op10_minhash,
 }
 
 
