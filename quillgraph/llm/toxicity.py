@@ -55,8 +55,8 @@ class Logistic:
         self.bias = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         if not 0 < share < 1:
             return
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.concatenate(rows)
+        of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         n1 = np.bincount(flat, weights=y[of], minlength=BUCKETS)
         df = np.bincount(flat, minlength=BUCKETS)
         expected = df * share
@@ -107,15 +107,17 @@ class Chain:
         return out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_rows: int = 12_000, names: Callable = categories) -> tuple[Chain, list[str]]:
+def fit_chain(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_rows: int = 8_000, names: Callable = categories) -> tuple[Chain, list[str]]:
     """Fits the chain on at most sample_rows labelled rows."""
     given = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic"))
     given = given.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(sample_rows)
     both = docs.select(F.col(doc_id).alias("_of"), F.col(text).alias("_text")).join(F.broadcast(given), F.col("_of") == F.col("_id"))  # sample_rows rows of 12 bytes
     made = names(F.col("_text"), F.col("_toxic"))
-    local = both.select("_id", word_buckets(F.col("_text")).alias("_words"), *[c.alias(k) for k, c in made.items()]).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample_rows).toPandas()
-    rows = [np.asarray(r, dtype=np.int64) for r in local["_words"]]
-    return Chain(rows, local[list(made)].to_numpy(dtype=float).reshape(-1, len(made))), list(made)
+    local = both.select("_id", word_buckets(F.col("_text")).alias("_words"), *[c.alias(k) for k, c in made.items()]).orderBy(F.xxhash64("_id"), "_id").limit(2 * sample_rows).toArrow()
+    words = local["_words"].combine_chunks()
+    ends, flat = words.offsets.to_numpy()[1:], words.flatten().to_numpy(zero_copy_only=False)
+    rows = np.split(flat, ends[:-1] - words.offsets[0].as_py()) if len(ends) else []
+    return Chain(rows, np.column_stack([local[k].to_numpy() for k in made]).astype(float)), list(made)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, names: list[str], text: str = "text", threshold: float = 0.5) -> DataFrame:
