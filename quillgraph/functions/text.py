@@ -76,8 +76,10 @@ RAW_TYPES = {
 
 
 def java(pattern: str, ignore_case: bool = True) -> str:
-    """A pattern with the flags that make Java treat it as Python does: Unicode classes and case, and only \\n ends lines."""
-    return ("(?iUd)" if ignore_case else "(?Ud)") + pattern
+    """A pattern as Java needs it to treat it as Python does: Unicode classes and case, only \\n ends lines, and all letters and numerals in words."""
+    word = r"[\p{L}\p{N}_]"
+    told = pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))").replace(r"\w", word)
+    return ("(?iUd)" if ignore_case else "(?Ud)") + told
 
 
 def py_strip(c: Column) -> Column:
