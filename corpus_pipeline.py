@@ -45,11 +45,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(docs, found="_secrets")
-    text = F.when(F.size("_secrets") > 0, secret_scan.redact(F.col("text"), F.col("_secrets"))).otherwise(F.col("text"))
-    clean = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    some = F.size("_secrets") > 0
+    text = F.when(some, secret_scan.redact(F.col("text"), F.col("_secrets"))).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(some, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return found.withColumns(changed).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, source, the packed ids, their number, and a digest of what they decode to."""
     import public_tokenizers
 
-    for_python(spark)
+    for_python(spark, 2000)
     done = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY))
     return done.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

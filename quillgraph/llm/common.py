@@ -69,3 +69,12 @@ def ascii_lower(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Words of a text as a long; 0 for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+
+
+def packed(docs: DataFrame, columns: list[str]) -> Column:
+    """The given columns as one struct named _in, so that no name of theirs clashes with a helper column."""
+    return F.struct(*[docs[c] for c in columns], F.lit(0).alias("_")).alias("_in")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("_in")[c].alias(c) for c in columns]

@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Words after lower-casing A-Z: digits, a-z and everything beyond ASCII. Here with A-Z, as words are lower-cased one by one.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -88,8 +90,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICE
     lookup = sorted({w for t in base for w in t.list} | {t.list[j] for t in notices for j in rare(t)[:RAREST]})
     anchors = [t.list[rare(t)[0]] for t in (*base, *notices)]
     words = F.coalesce(F.regexp_extract_all(docs[text], F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
-    seen = docs.select(*columns, words.alias("_words"))
-    seen = seen.select(*columns, "_words", F.size("_words").cast("long").alias("n_words"), _postings(F.col("_words"), lookup).alias("_at"))
+    seen = docs.select(packed(docs, columns), words.alias("_words"))
+    seen = seen.select("_in", "_words", F.size("_words").cast("long").alias("n_words"), _postings(F.col("_words"), lookup).alias("_at"))
     starts = lambda t, j: F.transform(F.filter(F.col("_at"), lambda x: x["w"] == t.list[j]), lambda x: x["at"] - j)
 
     def exact(t: Template) -> Column:
@@ -108,7 +110,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICE
     hits = F.array_sort(F.concat(*[exact(t) for t in base]))
     more = F.array_sort(F.concat(*[near(t) for t in notices]))
     return seen.select(
-        *columns,
+        *unpacked(columns),
         "n_words",
         F.when(some, hits).otherwise(F.array().cast("array<struct<at:int,label:string>>")).alias("base_hits"),
         F.when(some, more).otherwise(F.array().cast("array<struct<label:string,at:int,share:double>>")).alias("notice_hits"),

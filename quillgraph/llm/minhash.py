@@ -5,10 +5,9 @@ over 0 .. 2**32 - 1, a second one, pi, circularly shifted by 0, 1, 2, ..., gives
 the signature. Coordinates in bands select candidates; the Jaccard similarity of the full sets
 confirms them. With 32 bands of 5, a pair at the threshold 0.8 is missed with probability 3e-6.
 
-Texts with the same words collapse into one class first, so copies never meet in a bucket. In each
-bucket all members are compared with one hub; components of confirmed links follow; then, in buckets
-that still hold several components, members of different components are compared. What is already
-connected is never paired, and no bucket is capped.
+Texts with the same words collapse into one class first, so copies never meet in a bucket. Members of a
+bucket are compared with one of them at a time, and only across components, until the rest is small;
+what is already connected is never paired, and no bucket is capped.
 
 Defined results: null texts and texts without words have the empty set and are linked with nothing. Rows
 without an id are kept and belong to no component. Rows that share an id share their fate only if they
@@ -20,13 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
 
 BANDS, BAND_ROWS = 32, 5
+#: Rounds of comparing one member of a bucket with the others, before the rest is compared member by member.
+ROUNDS = 6
 _CHUNK = 2048
 _word_hash: dict[bytes, int] = {}
 
@@ -109,11 +110,51 @@ def _full_set(text: Column, k: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the similarity. Sizes alone rule out many before the sets are joined."""
-    size = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(size, "b")
+    """Those pairs (a, b, ...) whose full sets reach the similarity."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
-    return both.where(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select("a", "b")
+    return both.where(F.col("common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * percent).select(*pairs.columns)
+
+
+def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after links (ca, cb) between components."""
+    moved = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    return cut(label.join(moved, F.col("component") == F.col("_old"), "left").select("key", F.coalesce("_new", "component").alias("component")))
+
+
+def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, component) of the members of (bucket, key, n), by confirmed links between members of one bucket.
+
+    In each of some rounds, each bucket that holds several components has one of its members, another
+    one each time, compared with the members of other components. Most of a group is connected then; what is
+    left apart is compared member by member, so that no candidate pair of different components is left out.
+    """
+    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    ordered = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
+    label, tested = members.select("key").distinct().withColumn("component", F.col("key")), None
+    placed = members.withColumn("component", F.col("key"))
+    for turn in range(ROUNDS + 1):
+        one = F.struct("key", "n", "component")
+        if turn < ROUNDS:
+            other = placed.groupBy("bucket").agg(F.min_by(one, F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("y"))
+        else:
+            other = placed.select("bucket", one.alias("y"))
+        pairs = placed.select("bucket", one.alias("x")).join(other, "bucket").where((F.col("x.component") < F.col("y.component") if turn == ROUNDS else F.col("x.component") != F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
+        pairs = pairs.select(*ordered, F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).dropDuplicates(["a", "b"])
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        links = cut(_confirm(pairs, sets, percent).select("ca", "cb").distinct())
+        if not links.isEmpty():
+            label = _merge(label, links)
+        if turn == ROUNDS:
+            return label
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        placed = placed.select("bucket", "key", "n").join(label, "key")
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        placed = cut(placed.join(open_, "bucket"))
+        if placed.isEmpty():
+            return label
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -122,26 +163,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     seen = cut(given.select("doc_id", _sketch(F.col("text"), k, bands, rows).alias("s")).select("doc_id", "s.*"))
     told = seen.where("doc_id IS NOT NULL AND n > 0")
     classes = told.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = cut(told.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).dropDuplicates(["key"]).select("key", F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket")))
-    hubs = reps.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("bucket", "hub")
-    members = cut(reps.join(hubs, "bucket"))
-    wanted = members.select("key", F.col("rep").alias("doc_id")).distinct()
-    full = given.join(wanted.withColumnRenamed("key", "_key"), "doc_id").select("_key", _full_set(F.col("text"), k).alias("s")).where("s.key = _key").select("s.*")
+    reps = told.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).dropDuplicates(["key"]).select("key", F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
+    shared = F.count("*").over(Window.partitionBy("bucket"))
+    members = cut(reps.withColumn("_members", shared).where("_members > 1").drop("_members"))
+    wanted = members.select(F.col("key").alias("_key"), F.col("rep").alias("doc_id")).distinct()
+    full = given.join(wanted, "doc_id").select("_key", _full_set(F.col("text"), k).alias("s")).where("s.key = _key").select("s.*")
     sets = cut(full.dropDuplicates(["key"]))
-    near = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    star = members.where((F.col("key") != F.col("hub.key")) & near(F.col("n"), F.col("hub.n"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b")).distinct()
-    links = cut(_confirm(star, sets, percent))
-    label = connected_components(links)
-    placed = members.select("bucket", "key", "n").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    placed = cut(placed.join(open_, "bucket"))
-    x, y = placed.select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), placed.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = x.join(y, "bucket").where((F.col("ca") < F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = cut(_confirm(rest, sets, percent))
-    if not more.isEmpty():
-        label = connected_components(links.union(more))
-    ids = classes.join(label.withColumnRenamed("node", "key"), "key")
+    label = _components(members.select("bucket", "key", "n"), sets, percent)
+    ids = classes.join(label, "key")
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
     of_key = ids.join(least, "component").select("key", "component_id")
     out = seen.select("doc_id", "key", "n").join(classes, "key", "left").join(of_key, "key", "left")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, packed, unpacked, word_count
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -63,8 +63,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sized = cut(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("size")))
     per = source_targets(sized, "source", "size", **targets)
     per = cut(per.select(F.col("source").alias("_of"), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("_rate")))
-    both = docs.join(per, docs[source].eqNullSafe(F.col("_of")), "left")
-    extra = F.when(draw(docs[doc_id], seed) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    copies = (F.floor("_rate") + extra).cast("int")
+    given = docs.select(packed(docs, docs.columns), docs[source].alias("_source"), draw(docs[doc_id], seed).alias("_draw"))
+    both = given.join(per, F.col("_source").eqNullSafe(F.col("_of")), "left")
+    copies = (F.floor("_rate") + F.when(F.col("_draw") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
     again = both.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    return again.select(*unpacked(docs.columns))

@@ -95,7 +95,7 @@ class LabelModel:
 
     def __init__(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 100, tolerance: float = 1e-7):
         """votes: pattern x rule of 0, 1, 2; counts: texts with each pattern."""
-        k = votes.shape[1] if votes.size else 0
+        k = votes.shape[1]
         mean = np.array([0.4, 0.95])[:, None]  # row: the text's true class
         self.accuracy, self.prior = np.repeat(mean, k, 1), 0.8
         if not len(counts):

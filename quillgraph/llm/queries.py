@@ -52,7 +52,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    for_python(spark)
+    for_python(spark, 2000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -22,6 +22,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -167,7 +169,7 @@ def find_secrets(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str
     columns: the input's columns to return, all by default.
     """
     columns = [c for c in (columns or docs.columns) if c != found]
-    keyed = docs.select(*columns, F.coalesce(docs[text], F.lit("")).alias("_text"), F.xxhash64(docs[doc_id].cast("string"), docs[text]).alias("_key"))
+    keyed = docs.select(packed(docs, columns), F.coalesce(docs[text], F.lit("")).alias("_text"), F.xxhash64(docs[doc_id].cast("string"), docs[text]).alias("_key"))
     selected = candidates(keyed, rules)
     both = keyed.join(selected, "_key", "left")
     spans, none = [], F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
@@ -177,7 +179,7 @@ def find_secrets(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str
         else:
             look = F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(1 << i) != 0
         spans.append(F.when(look, _spans(F.col("_text"), rule, i)).otherwise(none))
-    return both.withColumn(found, F.array_sort(F.concat(*spans))).drop("_text", "_key", "_rules").select(*columns, found)
+    return both.select(*unpacked(columns), F.array_sort(F.concat(*spans)).alias(found))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 BUCKETS = 1 << 18
 #: Terms that split the label "toxic" into the categories that come before it in the chain.
 INSULTS = ("idiot", "moron", "stupid", "clown", "loser")
@@ -129,6 +131,6 @@ def score_toxicity(docs: DataFrame, chain: Chain, names: list[str], text: str =
         return pd.DataFrame(sent.value.score(list(words)), columns=[f"p_{k}" for k in names])
 
     made = [f"p_{k}" for k in names]
-    scored = docs.select(*[docs[c] for c in docs.columns if c not in {*made, "rejected"}], score(word_buckets(docs[text])).alias("_p"))
-    rest = [c for c in scored.columns if c != "_p"]
-    return scored.select(*rest, "_p.*").withColumn("rejected", F.col(made[-1]) >= threshold)
+    rest = [c for c in docs.columns if c not in {*made, "rejected"}]
+    scored = docs.select(packed(docs, rest), score(word_buckets(docs[text])).alias("_p"))
+    return scored.select(*unpacked(rest), "_p.*", (F.col("_p")[made[-1]] >= threshold).alias("rejected"))
