@@ -52,7 +52,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    for_python(spark, 2000)
+    for_python(spark, 4000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -148,4 +148,26 @@ c AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.source, CASE WHEN t.so
 e AS (SELECT *, CAST(floor(rate) AS INTEGER) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM c)
 SELECT doc_id, size, source_size, target, size * copies AS taken, source, CAST(copies AS INTEGER) AS copies FROM e"""
 
-ORACLE_SQL = {"op1_secret_scan": _op1_sql(), "op8_license_scan": _op8_sql(), "op9_mixing": OP9_SQL}
+OP2_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+k AS (SELECT r, v, sqrt(list_inner_product(v, v)) AS n FROM d WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM k a JOIN k b ON a.r < b.r AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / a.n / b.n >= 0.95),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.t = e.a),
+c AS (SELECT reach.r, min(d.vec_id) AS component_id FROM reach JOIN d ON reach.t = d.r GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM d JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + 3], ' ') AS sh FROM p),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.t = e.a),
+m AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.t = d.r GROUP BY 1)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
+
+ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op10_minhash": OP10_SQL, "op1_secret_scan": _op1_sql(), "op8_license_scan": _op8_sql(), "op9_mixing": OP9_SQL}
