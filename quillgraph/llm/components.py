@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +29,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         label = moved.select("node", "component")
         if moved.where("old <> component").isEmpty():
             return label
+
+
+def lower_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the groups of a and b within one task, in place: labels are the least position of a group."""
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label[:] = label[label]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import connected_components
+from .components import connected_components, lower_labels
 
 BLOCK = 8
 TILE = 16_384
@@ -78,19 +78,6 @@ def cells(x: np.ndarray, cosine: float) -> list[list[tuple[int, int, int, bool]]
     return out
 
 
-def _lower(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the groups of a and b, in place: labels are the least position of a group."""
-    while len(a):
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            return
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def join_tile(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.ndarray, chunk: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(links of each row, label of each row) among the rows of one tile, for the pairs whose first block is this one.
 
@@ -130,7 +117,7 @@ def join_tile(ids: np.ndarray, x: np.ndarray, home: np.ndarray, weight: np.ndarr
             linked = np.einsum("ij,ij->i", u[p], u[q]) >= cosine
             p, q = p[linked], q[linked]
             links += np.bincount(p, weights=weight[q], minlength=n).astype(np.int64) + np.bincount(q, weights=weight[p], minlength=n).astype(np.int64)
-            _lower(label, p, q)
+            lower_labels(label, p, q)
     return links, label
 
 

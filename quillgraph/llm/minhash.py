@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import connected_components
+from .components import connected_components, lower_labels
 
 BANDS, BAND_ROWS = 32, 5
-#: Rounds of comparing one member of a bucket with the others, before the rest is compared member by member.
-ROUNDS = 6
-_CHUNK = 2048
-_word_hash: dict[bytes, int] = {}
+#: Rounds of comparing one member of a bucket with the others, before the rest is compared in tiles of so many rows and shingles.
+ROUNDS, TILE_ROWS, TILE_SHINGLES = 2, 512, 500_000
+_COLUMNS = 8192
+_CHUNK = 512
+_BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_powers = np.ones(1, np.uint64)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -42,17 +44,27 @@ def class_key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word: random values of its bytes, times powers of an odd number by place, summed."""
+    global _powers
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)  # no word holds a space
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    lengths = ends - starts + 1
+    if (longest := int(lengths.max())) > len(_powers):
+        _powers = np.multiply.accumulate(np.full(longest, 0xD1342543DE82EF95, np.uint64))
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    h = np.add.reduceat(_BYTES[data] * _powers[place], starts)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
 def shingles(words: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; with fewer words the whole sequence is one."""
     if not words:
         return np.zeros(0, np.uint64)
-    cache = _word_hash
-    if len(cache) > 500_000:
-        cache.clear()
-    for w in words:
-        if w not in cache:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    h = _word_hashes(words)
     n = max(1, len(h) - k + 1)
     mixed = np.full(n, len(h) if len(h) < k else k, np.uint64)
     for i in range(min(k, len(h))):
@@ -61,13 +73,15 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _permute(x: np.ndarray, first: int, second: int) -> np.ndarray:
+def _permute(x: np.ndarray, first: int, second: int, room: np.ndarray | None = None) -> np.ndarray:
     """A permutation of the 32-bit integers, in place: each step can be undone."""
-    x ^= x >> np.uint32(16)
+    room = np.empty_like(x) if room is None else room
+    np.right_shift(x, 16, out=room)
+    x ^= room
     x *= np.uint32(first)
-    x ^= x >> np.uint32(13)
+    np.right_shift(x, 13, out=room)
+    x ^= room
     x *= np.uint32(second)
-    x ^= x >> np.uint32(16)
     return x
 
 
@@ -77,7 +91,8 @@ def signature(sh: np.ndarray, size: int) -> np.ndarray:
     shift = np.arange(size, dtype=np.uint32)[:, None]
     out = np.full(size, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(spread), _CHUNK):
-        np.minimum(out, _permute(spread[None, i : i + _CHUNK] + shift, 0x85EBCA6B, 0xC2B2AE35).min(1), out=out)
+        x = spread[None, i : i + _CHUNK] + shift
+        np.minimum(out, _permute(x, 0x85EBCA6B, 0xC2B2AE35).min(1), out=out)
     return out
 
 
@@ -122,34 +137,89 @@ def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
     return cut(label.join(moved, F.col("component") == F.col("_old"), "left").select("key", F.coalesce("_new", "component").alias("component")))
 
 
+def tile_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, chunk: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Components (as positions in `component`) that confirmed links join, as a forest.
+
+    All pairs of the tile are compared but those of one component, of the main component's members, or, if
+    there are two chunks, within a chunk. Common shingles are counted by products of 0/1 matrices.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    of, column = of[shared], column[shared]
+    wide, column = np.unique(column, return_inverse=True)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(wide), _COLUMNS):
+        mine = (column >= lo) & (column < lo + _COLUMNS)
+        block = np.zeros((len(sets), min(_COLUMNS, len(wide) - lo)), np.float32)
+        block[of[mine], column[mine] - lo] = 1
+        common += block @ block.T
+    _, name = np.unique(component, return_inverse=True)
+    linked = common * 100 >= (sizes[:, None] + sizes[None] - common) * percent
+    linked &= (name[:, None] != name[None]) & (side[:, None] | side[None])
+    if (chunk != chunk[0]).any():
+        linked &= chunk[:, None] != chunk[None]
+    a, b = np.nonzero(np.triu(linked))
+    label = np.arange(name.max() + 1)
+    lower_labels(label, name[a], name[b])
+    first = np.full(len(label), -1)
+    first[name[::-1]] = np.arange(len(name))[::-1]
+    return [(int(first[c]), int(first[label[c]])) for c in range(len(label)) if label[c] != c]
+
+
+def _compare_tiles(placed: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (ca, cb) between components that share one of the buckets of (bucket, key, n, component).
+
+    Around the largest component of each bucket a group is made, of its members and those of the
+    components beside it. A group is dealt into chunks of bounded rows and shingles, and chunks are compared two by two,
+    each as one task, which returns a forest of components. So no pair is ever a row.
+    """
+    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+    held = placed.select("bucket", "component").distinct().join(sizes, "component")
+    main = held.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    beside = held.select("bucket", "component").join(main, "bucket").where("component <> main").select("main", "component").distinct()
+    people = label.join(sets.select("key", F.size("set").alias("n")), "key")
+    right = beside.join(people, "component").select("main", "key", "component", "n", F.lit(True).alias("side"))
+    left = beside.select(F.col("main").alias("component")).distinct().join(people, "component").select(F.col("component").alias("main"), "key", "component", "n", F.lit(False).alias("side"))
+    rows = cut(left.unionByName(right))
+    chunks = rows.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("chunks"))
+    rows = rows.join(chunks, "main").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, "mine").alias("lo"), F.greatest(o, "mine").alias("hi")))
+    dealt = rows.withColumn("t", F.explode(tiles)).select("main", "t.lo", "t.hi", "key", "component", "side", (F.col("mine") != F.col("t.lo")).cast("int").alias("chunk"))
+
+    def compare(tile: pd.DataFrame) -> pd.DataFrame:
+        names = tile["component"].to_numpy()
+        found = tile_links([np.asarray(s) for s in tile["set"]], names, tile["side"].to_numpy(bool), tile["chunk"].to_numpy(), percent)
+        return pd.DataFrame({"ca": [names[i] for i, _ in found], "cb": [names[j] for _, j in found]})
+
+    return dealt.join(sets, "key").groupBy("main", "lo", "hi").applyInPandas(compare, "ca binary, cb binary")
+
+
 def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, component) of the members of (bucket, key, n), by confirmed links between members of one bucket.
 
     In each of some rounds, each bucket that holds several components has one of its members, another
     one each time, compared with the members of other components. Most of a group is connected then; what is
-    left apart is compared member by member, so that no candidate pair of different components is left out.
+    left apart is compared in tiles, so that no candidate pair of different components is left out.
     """
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    ordered = [F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")]
-    label, tested = members.select("key").distinct().withColumn("component", F.col("key")), None
+    label = members.select("key").distinct().withColumn("component", F.col("key"))
     placed = members.withColumn("component", F.col("key"))
     for turn in range(ROUNDS + 1):
-        one = F.struct("key", "n", "component")
         if turn < ROUNDS:
+            one = F.struct("key", "n", "component")
             other = placed.groupBy("bucket").agg(F.min_by(one, F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("y"))
+            pairs = placed.select("bucket", one.alias("x")).join(other, "bucket").where((F.col("x.component") != F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
+            pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).dropDuplicates(["a", "b"])
+            links = _confirm(pairs, sets, percent).select("ca", "cb").distinct()
         else:
-            other = placed.select("bucket", one.alias("y"))
-        pairs = placed.select("bucket", one.alias("x")).join(other, "bucket").where((F.col("x.component") < F.col("y.component") if turn == ROUNDS else F.col("x.component") != F.col("y.component")) & near(F.col("x.n"), F.col("y.n")))
-        pairs = pairs.select(*ordered, F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).dropDuplicates(["a", "b"])
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        links = cut(_confirm(pairs, sets, percent).select("ca", "cb").distinct())
+            links = _compare_tiles(placed, label, sets, percent)
+        links = cut(links)
         if not links.isEmpty():
             label = _merge(label, links)
         if turn == ROUNDS:
             return label
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         placed = placed.select("bucket", "key", "n").join(label, "key")
         open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         placed = cut(placed.join(open_, "bucket"))
