@@ -5,6 +5,7 @@ Patterns follow Python's re on str; `java` gives a pattern the Java flags that a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -132,9 +133,17 @@ def mentions(text: Column, names: tuple[str, ...], longer_than: int) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: F.length(x) > longer_than)))
 
 
-def entity_map(text: Column) -> Column:
-    """E5: mentions by category; empty categories are left out."""
+def entity_map(text: Column, ner: Callable[[Column], Column] | None = None) -> Column:
+    """E5: mentions by category; empty categories are left out.
+
+    ner: a hook for named entities (E4), from text to a map of category to names; it gets the first 100,000
+    characters, and only names of more than two characters are kept, sorted and distinct.
+    """
     made = F.create_map(F.lit("datasets"), mentions(text, DATASETS, 2), F.lit("methods"), mentions(text, METHODS, 2), F.lit("metrics"), mentions(text, METRICS, 1))
+    if ner is not None:
+        clean = lambda k, v: F.array_sort(F.array_distinct(F.filter(F.transform(v, py_strip), lambda x: F.length(x) > 2)))
+        none = F.create_map().cast("map<string,array<string>>")
+        made = F.map_concat(made, F.when(F.length(text) > 5, F.coalesce(F.transform_values(ner(F.substring(text, 1, 100_000)), clean), none)).otherwise(none))
     return F.map_filter(made, lambda k, v: F.size(v) > 0)
 
 

@@ -38,7 +38,7 @@ def detect_layout(pages: DataFrame, detector: Callable[[DataFrame], DataFrame] |
     return found.select(*heuristic.columns).unionByName(left)
 
 
-def text_elements(raw: DataFrame, section_mode: str = "grouped") -> DataFrame:
+def text_elements(raw: DataFrame, section_mode: str = "grouped", ner: Callable[[Column], Column] | None = None) -> DataFrame:
     """Text elements with section, word count and entities.
 
     section_mode: "grouped" treats titles apart from text, so that all text is in the section body;
@@ -56,7 +56,7 @@ def text_elements(raw: DataFrame, section_mode: str = "grouped") -> DataFrame:
     else:
         told = told.withColumn("section", F.coalesce(own, F.lit("body")))
     kept = told.where(T.keeps_text(F.col("text")))
-    return kept.select("paper_id", "page_number", "ordinal", F.col("_kind").alias("element_type"), F.col("text").alias("content"), "section", T.word_count(F.col("text")).alias("word_count"), T.entity_map(F.col("text")).alias("entities"))
+    return kept.select("paper_id", "page_number", "ordinal", F.col("_kind").alias("element_type"), F.col("text").alias("content"), "section", T.word_count(F.col("text")).alias("word_count"), T.entity_map(F.col("text"), ner).alias("entities"))
 
 
 class _Cells(HTMLParser):

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
+from ..functions.text import DATASETS, mentions, py_strip
 
 # The key property of each label, and the labels at both ends of each type of edge.
 KEYS = {"Paper": "arxiv_id", "Author": "name", "Method": "name", "Dataset": "name", "Concept": "name", "Topic": "name", "Table": "element_id", "Equation": "element_id", "Figure": "element_id"}
@@ -85,6 +85,13 @@ def benchmark_methods(tables: DataFrame) -> DataFrame:
     return cells.select("paper_id", py_strip(F.get("row", F.lit(0))).alias("name")).where(F.length("name") >= 2)
 
 
+def evaluated_on(tables: DataFrame) -> DataFrame:
+    """An option beyond the code followed: EVALUATED_ON (src, dst) from a benchmark table's methods to the data sets its headers name."""
+    named = tables.withColumn("_sets", mentions(F.array_join("headers", " "), DATASETS, 2)).where(F.size("_sets") > 0)
+    pairs = benchmark_methods(named.withColumn("paper_id", F.to_json(F.struct("_sets"))))
+    return pairs.select(F.col("name").alias("src"), F.explode(F.from_json("paper_id", "_sets array<string>")["_sets"]).alias("dst")).distinct()
+
+
 def quarantine(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(papers that can be built, papers without an abstract or an id)."""
     bad = F.col("abstract").isNull() | F.coalesce(F.col("arxiv_id"), F.lit("")).eqNullSafe("")

@@ -84,3 +84,18 @@ def test_reparse(spark):
     t = spark.createDataFrame([("A | B\n-----\n1 |  | 2\nplain", ["A", "B"])], "c string, h array<string>")
     assert t.select(reparse_table(F.col("c"), F.col("h"))).first()[0] == [["A", "B"], ["1", "2"]]
     assert t.select(reparse_table(F.col("c"), F.col("h"), keep_empty=True)).first()[0] == [["1", "", "2"]]
+
+
+def test_named_entities_hook(spark):
+    from quillgraph.functions import text as T
+
+    df = spark.createDataFrame([("BERT by Ann Lee",), ("tiny",)], "t string")
+    hook = lambda c: F.create_map(F.lit("persons"), F.array(F.lit(" Ann Lee "), F.lit("x"), F.lit("Ann Lee")), F.lit("orgs"), F.array().cast("array<string>"))
+    got = [r[0] for r in df.select(T.entity_map(F.col("t"), hook)).collect()]
+    assert got == [{"methods": ["BERT"], "persons": ["Ann Lee"]}, {}]
+
+
+def test_layout_hook(spark):
+    pages = spark.createDataFrame([("p", 1, "a line of text"), ("p", 2, "another line")], "paper_id string, page_number int, text string")
+    found = lambda p: X.lines_of(p).where("page_number = 1").withColumn("raw_type", F.lit("Table"))
+    assert sorted((r["page_number"], r["raw_type"]) for r in X.detect_layout(pages, found).collect()) == [(1, "Table"), (2, "NarrativeText")]

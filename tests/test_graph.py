@@ -163,3 +163,18 @@ def test_stream_merges_and_replays(spark, tmp_path):
         streaming.stream_nodes(spark.readStream.schema(schema).json(src), "Method", out, ck).awaitTermination()
     got = {r["name"]: r["from_table"] for r in streaming.read_nodes(spark, out).collect()}
     assert got == {"a": True, "b": True, "c": None}
+
+
+def test_evaluated_on_option(spark):
+    t = spark.createDataFrame([("1", True, ["Method", "COCO mAP"], [["BERT", "1"], ["ViT", "2"]]), ("1", True, ["Method", "F1"], [["GPT", "1"]])], "paper_id string, is_benchmark boolean, headers array<string>, rows array<array<string>>")
+    assert sorted(map(tuple, G.evaluated_on(t).collect())) == [("BERT", "COCO"), ("ViT", "COCO")]
+
+
+def test_settings(monkeypatch):
+    from quillgraph.settings import Settings
+
+    monkeypatch.setenv("QUILLGRAPH_ARXIV_MAX_RESULTS", "20")
+    assert Settings.from_env().arxiv_max_results == 20
+    for bad in ({"arxiv_max_results": 0}, {"request_delay": 0.1}, {"context_papers": 0}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
