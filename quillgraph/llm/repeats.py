@@ -10,7 +10,7 @@ documents, and the suffix array of each bucket's stretches (by linear grouping c
 equal windows side by side: each gets the least id among all documents that hold it. Going back to
 every place of a stretch, the windows whose least id is below the document's own are removed.
 
-A key with only one stretch needs no sorting. A key with more than `STRETCHES` different stretches is
+A key with only one stretch needs no sorting, and neither do windows whose hash occurs once in the bucket. A key with more than `STRETCHES` different stretches is
 not gathered into one task: its windows are grouped as they are, with the same result.
 
 Defined results: null text is empty. Texts are UTF-8 bytes, whole, of any length. Rows with a null id
@@ -25,15 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard, packed, unpacked
 from .suffix_array import suffix_array
 
 GRAM = 20
 #: Text bytes for each bucket of keys, different stretches of a key that one task may sort, and buckets for each salt.
-BUCKET_BYTES, STRETCHES, SALT_BUCKETS = 16 << 20, 4096, 512
+BUCKET_BYTES, STRETCHES, SALT_BUCKETS = 64 << 20, 4096, 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -76,7 +76,8 @@ def _keys_by_bucket(buckets: int, length: int, by_row: bool):
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(r, np.unique(runs(t.encode(), length)[1])) for r, t in zip(batch["row"], batch["text"], strict=True)]
+            rows = batch["row"].to_dict("records") if isinstance(batch["row"], pd.DataFrame) else batch["row"]
+            found = [(r, np.unique(runs(t.encode(), length)[1])) for r, t in zip(rows, batch["text"], strict=True)]
             if not found:
                 continue
             flat = np.concatenate([k for _, k in found])
@@ -90,8 +91,8 @@ def _keys_by_bucket(buckets: int, length: int, by_row: bool):
                     sel = order[cuts[b] : cuts[b + 1]]
                     if len(sel):
                         who, counts = np.unique(of[sel], return_counts=True)
-                        out.append((b, [found[i][0] for i in who], counts.tolist(), flat[sel].tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "rows", "counts", "keys"])
+                        out.append((b, [found[i][0]["doc_id"] for i in who], [found[i][0]["variant"] for i in who], counts.tolist(), flat[sel].tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "docs", "variants", "counts", "keys"])
             else:
                 keys, counts = np.unique(flat, return_counts=True)
                 home = keys % np.uint64(buckets)
@@ -117,45 +118,48 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _surviving(rows: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-    """(row, keys) for the rows of a bucket that hold repeated keys."""
+    """(doc_id, variant, keys) for the rows of a bucket that hold repeated keys."""
     wanted, out = _join(repeated["keys"]), []
-    for who, counts, packed in zip(rows["rows"], rows["counts"], rows["keys"], strict=True):
+    for docs, variants, counts, packed in zip(rows["docs"], rows["variants"], rows["counts"], rows["keys"], strict=True):
         keys = np.frombuffer(packed, np.uint64)
         at = np.minimum(np.searchsorted(wanted, keys), max(len(wanted) - 1, 0))
         kept = wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)
         ends = np.cumsum(counts)
-        for r, lo, hi in zip(who, ends - counts, ends, strict=True):
+        for doc, variant, lo, hi in zip(docs, variants, ends - counts, ends, strict=True):
             if kept[lo:hi].any():
-                out.append((r, keys[lo:hi][kept[lo:hi]].tobytes()))
-    return pd.DataFrame(out, columns=["row", "keys"])
+                out.append((doc, variant, keys[lo:hi][kept[lo:hi]].tobytes()))
+    return pd.DataFrame(out, columns=["doc_id", "variant", "keys"])
 
 
 def _stretches(length: int):
-    """Places (stretch, row, doc_id, first) and, once a batch, texts (stretch, key, text, least doc_id)."""
+    """(key, stretch, n, doc_id, variant, first): where each row holds a run of windows with a repeated key; n is its bytes."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            places, texts = [], {}
-            for row, doc, text, packed in zip(batch["row"], batch["doc_id"], batch["text"], batch["keys"], strict=True):
+            out = []
+            for doc, variant, text, packed in zip(batch["doc_id"], batch["variant"], batch["text"], batch["keys"], strict=True):
                 data, wanted = text.encode(), np.sort(_join(packed))
                 first, keys = runs(data, length)
                 at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                for i in np.flatnonzero(wanted[at] == keys).tolist():
-                    lo = int(first[i])
-                    piece = data[lo : int(first[i + 1]) + length - 1]
-                    name = xxhash.xxh3_128_digest(piece)
-                    places.append((name, row, doc, lo))
-                    if name not in texts or texts[name][2] > doc:
-                        texts[name] = (int(keys[i].view(np.int64)), piece, doc)
-            made = pd.DataFrame(places, columns=["stretch", "row", "doc_id", "first"]).assign(key=None, text=None)
-            told = pd.DataFrame([(n, None, d, None, k, p) for n, (k, p, d) in texts.items()], columns=["stretch", "row", "doc_id", "first", "key", "text"])
-            for part in (made, told):
-                if len(part):
-                    yield part.astype({"first": "Int32", "key": "Int64"})
+                held = np.flatnonzero(wanted[at] == keys)
+                lo, hi = first[held], first[held + 1] + length - 1
+                names = [xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+                out.append((keys[held].view(np.int64), np.array(names, np.uint64).view(np.int64), hi - lo, np.full(len(held), doc), np.full(len(held), variant), lo))
+            if out:
+                yield pd.DataFrame(dict(zip(["key", "stretch", "n", "doc_id", "variant", "first"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return make
 
 
+def _cut_out(texts: pd.Series, places: pd.Series) -> pd.Series:
+    """The bytes at the places (first, n) of each text, with what names them."""
+    out = []
+    for text, given in zip(texts, places, strict=True):
+        data = text.encode()
+        out.append([{"key": g["key"], "stretch": g["stretch"], "text": data[g["first"] : g["first"] + g["n"]]} for g in given])
+    return pd.Series(out, dtype=object)
+
+
 def least_ids(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
     """For each text, the least id of the texts that hold the window, for each of its windows."""
     joined = b"\xff".join(texts)  # no UTF-8 text holds this byte
@@ -177,6 +181,28 @@ def least_ids(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndar
     return [least[b : b + s - length + 1] for b, s in zip(begin, sizes, strict=True)]
 
 
+def trimmed_least_ids(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
+    """As least_ids. A window whose hash occurs once is in one text only; just runs of other windows are sorted, equal runs once."""
+    hashes = [_grams(np.frombuffer(t, np.uint8).astype(np.uint64), length) for t in texts]
+    _, name, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    often, at = count[name] > 1, 0
+    out, runs, pieces = [], [], {}
+    for i, h in enumerate(hashes):
+        mine = often[at : at + len(h)]
+        at += len(h)
+        out.append(np.full(len(h), docs[i]))
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]])))
+        for lo, hi in edges.reshape(-1, 2).tolist():
+            piece = texts[i][lo : hi + length - 1]
+            pieces[piece] = min(pieces.get(piece, docs[i]), docs[i])
+            runs.append((i, lo, hi, piece))
+    if pieces:
+        found = dict(zip(pieces, least_ids(list(pieces), np.array(list(pieces.values()), np.int64), length), strict=True))
+        for i, lo, hi, piece in runs:
+            out[i][lo:hi] = found[piece]
+    return out
+
+
 def _segments(least: np.ndarray) -> list[dict]:
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return [{"a": int(a), "b": int(b), "least": int(least[a])} for a, b in zip(first, np.append(first[1:], len(least)), strict=True)]
@@ -184,14 +210,8 @@ def _segments(least: np.ndarray) -> list[dict]:
 
 def _sorted_bucket(length: int):
     def make(rows: pd.DataFrame) -> pd.DataFrame:
-        docs = rows["doc_id"].to_numpy(np.int64)
-        texts = [bytes(t) for t in rows["text"]]
-        several = rows["key"].duplicated(keep=False).to_numpy()
-        out: list = [[{"a": 0, "b": len(t) - length + 1, "least": int(d)}] for t, d in zip(texts, docs, strict=True)]
-        at = np.flatnonzero(several)
-        for i, least in zip(at, least_ids([texts[i] for i in at], docs[at], length) if len(at) else (), strict=True):
-            out[i] = _segments(least)
-        return pd.DataFrame({"stretch": rows["stretch"].to_numpy(), "segments": out})
+        found = trimmed_least_ids([bytes(t) for t in rows["text"]], rows["least"].to_numpy(np.int64), length)
+        return pd.DataFrame({"key": rows["key"].to_numpy(), "stretch": rows["stretch"].to_numpy(), "segments": [_segments(x) for x in found]})
 
     return make
 
@@ -218,35 +238,54 @@ def _carve(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(row, spans): the bytes to remove of each row of (row, doc_id, text) that loses any; spans may overlap."""
+    """(doc_id, variant, spans): the bytes to remove of each row of (doc_id, variant, text) that loses any; spans may overlap.
+
+    A variant tells rows of one id apart by their text.
+    """
+    row = ["doc_id", "variant"]
     told = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    total = told.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a text that is equal to one of a smaller id goes as a whole and isn't looked at further
+    named = told.select(*row, F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").alias("n"))
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    named = cut(named.join(firsts, "digest").select(*row, "n", (F.col("doc_id") > F.col("least")).alias("copy")).distinct())
+    total = named.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     salts = -(-buckets // SALT_BUCKETS)
-    rows = told.select("row", "text")
+    rows = told.select(F.struct(*row).alias("row"), "text")
     once = rows.mapInPandas(_keys_by_bucket(buckets, length, False), "bucket int, once binary, more binary")
     repeated = cut(once.groupBy("bucket").applyInPandas(_repeated, "bucket int, keys binary"))
-    by_row = rows.mapInPandas(_keys_by_bucket(buckets, length, True), "bucket int, rows array<binary>, counts array<int>, keys binary")
+    by_row = rows.mapInPandas(_keys_by_bucket(buckets, length, True), "bucket int, docs array<long>, variants array<int>, counts array<int>, keys binary")
     by_row = by_row.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(salts)).cast("int"))
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = by_row.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInPandas(_surviving, "row binary, keys binary")
-    held = cut(left.groupBy("row").agg(F.collect_list("keys").alias("keys")))  # a row's own keys, once each
-    found = told.join(held, "row").select("row", "doc_id", "text", "keys").mapInPandas(_stretches(length), "stretch binary, row binary, doc_id long, first int, key long, text binary")
-    found = cut(found)
-    texts = cut(found.where("text IS NOT NULL").groupBy("stretch").agg(F.min("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("text").alias("text")))
-    crowded = texts.groupBy("key").count().where(F.col("count") > STRETCHES).select("key")
-    sort_buckets = max(8, 2 * buckets)
-    few = texts.join(crowded, "key", "left_anti").withColumn("bucket", F.pmod("key", F.lit(sort_buckets)))
-    segments = few.groupBy("bucket").applyInPandas(_sorted_bucket(length), "stretch binary, segments array<struct<a:int,b:int,least:long>>")
-    segments = segments.select("stretch", F.explode("segments").alias("s")).select("stretch", "s.*")
+    left = by_row.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInPandas(_surviving, "doc_id long, variant int, keys binary")
+    held = left.groupBy(*row).agg(F.collect_list("keys").alias("keys"))  # a row's own keys, once each
+    held = cut(held.join(named.where("NOT copy").select(*row), row, "left_semi"))
+    places = told.join(held, row).select(*row, "text", "keys").mapInPandas(_stretches(length), "key long, stretch long, n int, doc_id long, variant int, first int")
+    places = cut(places)
+    discard(repeated, held)
+    name = ["key", "stretch"]
+    place = F.shiftleft(F.col("variant").cast("long"), 32).bitwiseOR(F.col("first").cast("long"))  # one number, which a hash aggregate can hold
+    kinds = places.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.min_by(place, "doc_id").alias("place"), F.min("n").alias("n"), F.count("*").alias("held"))
+    kinds = cut(kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("key"))).where("kinds > 1 OR held > 1"))
+    whole = kinds.where("kinds = 1").select(*name, F.lit(0).alias("a"), (F.col("n") - (length - 1)).alias("b"), F.col("doc_id").alias("least"))
+    first = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first")
+    wanted = kinds.where("kinds > 1").select("doc_id", F.shiftright("place", 32).cast("int").alias("variant"), F.struct(*name, first, "n").alias("p")).groupBy(*row).agg(F.collect_list("p").alias("places"))
+    cut_out = F.pandas_udf(_cut_out, "array<struct<key:long,stretch:long,text:binary>>")
+    texts = told.join(wanted, row).dropDuplicates(row).select("doc_id", F.explode(cut_out("text", "places")).alias("c")).select(F.col("doc_id").alias("least"), "c.*")
+    texts = cut(texts.withColumn("kinds", F.count("*").over(Window.partitionBy("key"))))
+    few = texts.where(F.col("kinds") <= STRETCHES).withColumn("bucket", F.pmod("key", F.lit(8 * buckets)))
+    segments = few.groupBy("bucket").applyInPandas(_sorted_bucket(length), "key long, stretch long, segments array<struct<a:int,b:int,least:long>>")
+    segments = segments.select(*name, F.explode("segments").alias("s")).select(*name, "s.*")
     window = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("text") - (length - 1)), lambda i: F.substring("text", i, length)))
-    many = texts.join(crowded, "key").select("stretch", "doc_id", window.alias("a", "window"))
-    least = many.groupBy("window").agg(F.min("doc_id").alias("least"))
-    many = many.join(least, "window").select("stretch", "a", (F.col("a") + 1).alias("b"), "least")
-    places = found.where("text IS NULL").select("stretch", "row", "doc_id", "first")
-    spans = places.join(segments.union(many), "stretch").where("least < doc_id")
+    many = texts.where(F.col("kinds") > STRETCHES).select(*name, "least", window.alias("a", "window"))
+    ids = many.groupBy("window").agg(F.min("least").alias("of_all"))
+    many = many.join(ids, "window").select(*name, "a", (F.col("a") + 1).alias("b"), F.col("of_all").alias("least"))
+    spans = places.join(whole.union(segments).union(many), name).where("least < doc_id")
     span = F.struct((F.col("first") + F.col("a")).alias("from"), (F.col("first") + F.col("b") + (length - 1)).alias("to"))
-    return spans.groupBy("row").agg(F.collect_list(span).alias("spans"))  # within one document
+    copies = named.where("copy").select(*row, F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))).alias("spans"))
+    out = cut(spans.groupBy(*row).agg(F.collect_list(span).alias("spans")).union(copies))  # within one row
+    discard(places, kinds, texts, named)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -256,10 +295,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     columns = [c for c in (columns or docs.columns) if c not in made]
-    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(docs[doc_id].cast("string"), F.lit("")), docs[text]).cast("binary")))
-    given = docs.select(row.alias("row"), docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    spans = cut(repeated_spans(given, length))
-    both = docs.withColumn("_row", row).join(spans.withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans"), "_row", "left")
+    variant = F.hash(docs[text])
+    given = docs.select(docs[doc_id].cast("long").alias("doc_id"), variant.alias("variant"), docs[text].alias("text"))
+    spans = repeated_spans(given, length).select(F.col("doc_id").alias("_id"), F.col("variant").alias("_of"), F.col("spans").alias("_spans"))
+    told = docs.select(packed(docs, columns), docs[text].alias("_text"), docs[doc_id].cast("long").alias("_doc_id"), variant.alias("_variant"))
+    both = told.join(spans, (F.col("_doc_id") == F.col("_id")) & (F.col("_variant") == F.col("_of")), "left")
     carve = F.pandas_udf(_carve, "n_removed long, n_spans long, kept_bytes binary")
-    out = both.select(*[docs[c] for c in columns], F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("n_bytes"), carve(docs[text], F.col("_spans")).alias("_c"))
-    return out.select(*columns, "n_bytes", "_c.*")
+    out = both.select("_in", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), carve("_text", "_spans").alias("_c"))
+    return out.select(*unpacked(columns), "n_bytes", "_c.*")

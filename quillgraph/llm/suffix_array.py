@@ -35,32 +35,33 @@ def suffix_array(text: Sequence[int]) -> list[int]:
         order += members
     before = [-1] * n
     end = n
+    # index -1 is the empty suffix, which is in the smallest group and placed first, so that searches to the left end there
     while end > 1:
-        first = start[order[end - 1]]
-        group = order[first:end]
-        end = first
-        if len(group) == 1:
-            s = group[0]
+        s = order[end - 1]
+        first = start[s]
+        if first == end - 1:
+            end = first
             p = s - 1
-            while p >= 0 and start[p] >= first:
+            while start[p] >= first:
                 p = before[p]
             before[s] = p
             if p >= 0:
                 g = start[p]
-                size[g] -= 1
-                to = g + size[g]
-                if to != g:
+                left = size[g] - 1
+                if left:
+                    size[g] = left
+                    to = g + left
                     at, other = place[p], order[to]
                     order[at], order[to] = other, p
                     place[other], place[p] = at, to
-                    start[p] = to
-                size[to] = 1
+                    start[p], size[to] = to, 1
             continue
+        group, end = order[first:end], first
         group.sort()
         pointed: dict[int, int] = {}
         for s in group:
             p = s - 1
-            while p >= 0 and start[p] >= first:
+            while start[p] >= first:
                 p = before[p]
             before[s] = p
             if p >= 0:
@@ -95,7 +96,7 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     placed[n - 1] = 1
     for i in range(n):
         p = order[i] - 1
-        while p >= 0 and not placed[p]:
+        while not placed[p]:
             g = start[p]
             at = head[g]
             order[at] = p
