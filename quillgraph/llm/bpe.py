@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a prefix-sharing trie traversal.
 
-The distinct words of a batch of texts go into a trie of bytes. A depth-first walk keeps, for every
+The distinct words of a batch of texts form a trie of bytes. A depth-first walk keeps, for every
 prefix on the current path, the last token of that prefix's encoding. The last token of a longer
 prefix is the one vocabulary entry that ends there and whose pairing with the last token before it
 leaves both whole under the merge rules. So what words share at their start is encoded once, and an
@@ -14,7 +14,11 @@ equal results. An empty table gives an empty table.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import re
+import sys
+import unicodedata
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +28,11 @@ from pyspark.sql import functions as F
 
 #: The pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same for Python's faster re, most common branch first (no text fits both it and a contraction). It
+#: holds for texts without numerals that aren't decimal digits, which re takes for letters, and without
+#: the separators 1C to 1F, which it takes for white space.
+_PATTERN = r""" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
+_OTHER = frozenset("\x1c\x1d\x1e\x1f").union(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 NEVER = 1 << 60
 
 
@@ -35,15 +44,18 @@ def byte_alphabet() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Word encodings that a Python worker remembers (twice as many at most), at about 180 bytes each: a bound of memory, not of results.
+REMEMBERED_WORDS = 300_000
+
+
 class TrieBpe:
     """Encodes and decodes with the contents of a byte-level BPE vocabulary file."""
 
-    #: Words in one trie, word encodings and token pairs that are remembered: bounds of memory, not of results.
-    WORDS_PER_TRIE = 20_000
-    REMEMBERED_WORDS = 200_000
-    REMEMBERED_PAIRS = 500_000
+    #: Token pairs and automaton steps that are remembered: bounds of memory, not of results.
+    REMEMBERED_PAIRS, REMEMBERED_STEPS = 300_000, 400_000
 
-    def __init__(self, file_content: str):
+    def __init__(self, file_content: str, remembered_words: int = REMEMBERED_WORDS):
+        self.remembered_words = remembered_words
         spec = json.loads(file_content)
         to_byte = byte_alphabet()
         vocab = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
@@ -54,6 +66,9 @@ class TrieBpe:
             self.bytes_of[i] = t
         for t, i in self.special.items():
             self.bytes_of[i] = t.encode()
+        self.size_of = list(map(len, self.bytes_of))
+        self.sizes, self.flat = np.array(self.size_of, np.int32), np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.rank, self.left, self.right = [-1] * size, [0] * size, [0] * size
         self.merge: dict[tuple[int, int], int] = {}
         whole = spec["model"]["vocab"]
@@ -63,11 +78,11 @@ class TrieBpe:
             self.merge[x, y] = r
             self.rank[made], self.left[made], self.right[made] = r, x, y
         reachable = {t: i for t, i in vocab.items() if self.rank[i] < 0 or self._apart(self.left[i], self.right[i], self.rank[i])}
-        self.vocab = reachable
-        self.suffixes = {t[k:] for t in reachable for k in range(len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self._build_endings(reachable)
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
-        self.find = regex.compile(PATTERN).findall
+        self.older: dict[str, bytes] = {}
+        self.exact, self.fast = regex.compile(PATTERN).findall, re.compile(_PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def _apart(self, a: int, b: int, until: int = NEVER) -> bool:
@@ -90,104 +105,161 @@ class TrieBpe:
             else:
                 return True
 
-    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Token ids of distinct words, by one walk over their trie."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for b in w:
-                node = node.setdefault(b, {})
-            node[-1] = w
-        out: dict[bytes, list[int]] = {}
-        path, last = bytearray(), [0]
-        vocab, suffixes, pairs, apart, bytes_of = self.vocab, self.suffixes, self.pairs, self._apart, self.bytes_of
-        stack = [(root, 0, 0)]
-        while stack:
-            node, depth, byte = stack.pop()
-            if depth:
-                del path[depth - 1 :], last[depth:]
-                path.append(byte)
-                ends, start = [], depth
-                while start:
-                    piece = bytes(path[start - 1 :])
-                    if piece not in suffixes:
-                        break
-                    start -= 1
-                    if (t := vocab.get(piece)) is not None:
-                        ends.append((start, t))
-                for start, t in reversed(ends):
-                    if not start:
-                        break
-                    pair = last[start], t
-                    if (ok := pairs.get(pair)) is None:
-                        ok = pairs[pair] = apart(*pair)
-                    if ok:
-                        break
-                last.append(t)
-            for b, below in node.items():
-                if b >= 0:
-                    stack.append((below, depth + 1, b))
-                else:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(last[at])
-                        at -= len(bytes_of[last[at]])
-                    out[below] = ids[::-1]
+    def _build_endings(self, tokens: dict[bytes, int]) -> None:
+        """An automaton over bytes whose state tells which tokens end at the current byte, longest first."""
+        step: dict[int, int] = {}  # state * 256 + byte: state
+        ends: list[tuple[tuple[int, int], ...]] = [()]
+        back, order = [0], []
+        for t in sorted(tokens, key=len):
+            state = 0
+            for b in t:
+                key = state << 8 | b
+                if key not in step:
+                    step[key] = len(ends)
+                    ends.append(())
+                    back.append(0)
+                    order.append(key)
+                state = step[key]
+            ends[state] = ((len(t), tokens[t]),)
+        depth = [0] * len(ends)
+        for key in order:
+            depth[step[key]] = depth[key >> 8] + 1
+        for key in sorted(order, key=lambda k: depth[step[k]]):
+            state, parent, b = step[key], key >> 8, key & 255
+            if parent:
+                at = back[parent]
+                while at and (at << 8 | b) not in step:
+                    at = back[at]
+                back[state] = step.get(at << 8 | b, 0)
+            ends[state] += ends[back[state]]
+        self.step, self.ends, self.back = step, ends, back
+
+    def _next(self, state: int, b: int) -> int:
+        at = state
+        while at and (at << 8 | b) not in self.step:
+            at = self.back[at]
+        found = self.step.get(at << 8 | b, 0)
+        if len(self.step) < self.REMEMBERED_STEPS:
+            self.step[state << 8 | b] = found
+        return found
+
+    def find(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces."""
+        plain = not any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _OTHER.isdisjoint(text)
+        return self.fast(text) if plain else self.exact(text)
+
+    def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Packed token ids of distinct words, by one depth-first walk over their trie.
+
+        Sorted words are the trie in the order of that walk: each word leaves the path at the end of
+        what it shares with the one before it, so a trie node is met once and only the path is held.
+        """
+        last, states, before = [0], [0], b""
+        step, ends, pairs, size_of, swap = self.step, self.ends, self.pairs, self.size_of, sys.byteorder == "big"
         if len(pairs) > self.REMEMBERED_PAIRS:
             pairs.clear()
-        return out
+        for word in sorted(words):
+            w = word.encode()
+            depth = 0
+            for x, y in zip(w, before, strict=False):
+                if x != y:
+                    break
+                depth += 1
+            before = w
+            del last[depth + 1 :], states[depth + 1 :]
+            state = states[depth]
+            for b in w[depth:]:
+                depth += 1
+                key = state << 8 | b
+                state = step[key] if key in step else self._next(state, b)
+                for size, t in ends[state]:
+                    if size == depth:
+                        break
+                    pair = last[-size] << 20 | t
+                    if pair in pairs:
+                        if pairs[pair]:
+                            break
+                    else:
+                        ok = pairs[pair] = self._apart(pair >> 20, t)
+                        if ok:
+                            break
+                last.append(t)
+                states.append(state)
+            ids = []
+            while depth:
+                t = last[depth]
+                ids.append(t)
+                depth -= size_of[t]
+            made = array("I", ids[::-1])
+            if swap:
+                made.byteswap()
+            yield word, made.tobytes()
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts: list[list[tuple[bool, list[str]]]] = []
-        fresh: set[str] = set()
-        if len(self.words) > self.REMEMBERED_WORDS:
-            self.words.clear()
-        known = self.words
+        parts: list[list[tuple[bytes | None, list[str]]]] = []
+        seen: set[str] = set()
         for text in texts:
-            pieces = self.split(text) if self.split and text else [text or ""]
-            row = [(bool(k % 2), [p] if k % 2 else self.find(p)) for k, p in enumerate(pieces) if p]
-            for special, found in row:
-                if not special:
-                    fresh.update(w for w in found if w not in known)
+            row = []
+            for k, p in enumerate(self.split(text) if self.split and text else [text or ""]):
+                if k % 2:
+                    row.append((np.array([self.special[p]], "<u4").tobytes(), []))
+                elif p:
+                    found = self.find(p)
+                    seen.update(found)
+                    row.append((None, found))
             parts.append(row)
-        todo = sorted(w.encode() for w in fresh)
-        for k in range(0, len(todo), self.WORDS_PER_TRIE):
-            for w, ids in self.encode_words(todo[k : k + self.WORDS_PER_TRIE]).items():
-                known[w.decode()] = np.array(ids, "<u4").tobytes()
-        special = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
-        return [b"".join(special[f[0]] if s else b"".join(map(known.__getitem__, f)) for s, f in row) for row in parts]
+        if len(self.words) > self.remembered_words:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        seen.difference_update(known)
+        again = seen & older.keys()
+        known.update((w, older[w]) for w in again)
+        seen -= again
+        known.update(self.encode_words(seen))
+        of = known.__getitem__
+        out = [b"".join([s if s is not None else b"".join(map(of, f)) for s, f in row]) for row in parts]
+        for w in seen:
+            if len(w) > 200:  # not to be met again
+                del known[w]
+        return out
 
     def decode(self, packed: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+        """The bytes of all ids, one after the other, as text; what isn't UTF-8 is replaced."""
+        ids = np.frombuffer(packed, "<u4")
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        at += np.repeat(self.starts[ids] - ends + sizes, sizes)
+        return self.flat[at].tobytes().decode("utf-8", "replace")
 
 
 _loaded: dict[int, TrieBpe] = {}
 
 
-def _of(key: int, content) -> TrieBpe:
+def _of(key: int, content, remembered_words: int) -> TrieBpe:
     """One encoder for each vocabulary and Python worker."""
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = TrieBpe(content.value)
+        _loaded[key] = TrieBpe(content.value, remembered_words)
     return _loaded[key]
 
 
 class Bpe:
     """Column functions over one vocabulary file, which the driver reads and sends once (1.5 MB at most for 50,000 entries)."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, remembered_words: int = REMEMBERED_WORDS):
         with open(path, encoding="utf-8") as f:
             content = f.read()
-        sent, key = spark.sparkContext.broadcast(content), hash(content)
+        sent, key = spark.sparkContext.broadcast(content), hash((content, remembered_words))
 
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
-            return pd.Series(_of(key, sent).encode_batch(texts), dtype=object)
+            return pd.Series(_of(key, sent, remembered_words).encode_batch(texts), dtype=object)
 
         @F.pandas_udf("string")
         def decode(packed: pd.Series) -> pd.Series:
-            one = _of(key, sent)
+            one = _of(key, sent, remembered_words)
             return pd.Series([None if p is None else one.decode(p) for p in packed], dtype=object)
 
         self._encode, self._decode = encode, decode
@@ -200,9 +272,9 @@ class Bpe:
         return self._decode(packed)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", remembered_words: int = REMEMBERED_WORDS) -> DataFrame:
     """Adds each text's packed ids and what they decode to; columns of these names are replaced."""
-    bpe = Bpe(docs.sparkSession, path)
+    bpe = Bpe(docs.sparkSession, path, remembered_words)
     return docs.withColumn(ids, bpe.encode(F.col(text))).withColumn(decoded, bpe.decode(F.col(ids)))
 
 
