@@ -156,7 +156,7 @@ def _cut_out(texts: pd.Series, places: pd.Series) -> pd.Series:
     out = []
     for text, given in zip(texts, places, strict=True):
         data = text.encode()
-        out.append([{"key": g["key"], "stretch": g["stretch"], "text": data[g["first"] : g["first"] + g["n"]]} for g in given])
+        out.append([{"key": g["key"], "stretch": g["stretch"], "kinds": g["kinds"], "text": data[g["first"] : g["first"] + g["n"]]} for g in given])
     return pd.Series(out, dtype=object)
 
 
@@ -247,7 +247,10 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     # a text that is equal to one of a smaller id goes as a whole and isn't looked at further
     named = told.select(*row, F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").alias("n"))
     firsts = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    named = cut(named.join(firsts, "digest").select(*row, "n", (F.col("doc_id") > F.col("least")).alias("copy")).distinct())
+    named = named.join(firsts, "digest").groupBy(*row).agg(F.first("n").alias("n"), F.first(F.col("doc_id") > F.col("least")).alias("copy"), F.count("*").alias("times"))
+    named = cut(named)
+    if not named.where("times > 1").isEmpty():  # repeated rows count once; where there are none, texts needn't be grouped
+        told = told.dropDuplicates(row)
     total = named.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     salts = -(-buckets // SALT_BUCKETS)
@@ -269,10 +272,10 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     kinds = cut(kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("key"))).where("kinds > 1 OR held > 1"))
     whole = kinds.where("kinds = 1").select(*name, F.lit(0).alias("a"), (F.col("n") - (length - 1)).alias("b"), F.col("doc_id").alias("least"))
     first = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first")
-    wanted = kinds.where("kinds > 1").select("doc_id", F.shiftright("place", 32).cast("int").alias("variant"), F.struct(*name, first, "n").alias("p")).groupBy(*row).agg(F.collect_list("p").alias("places"))
-    cut_out = F.pandas_udf(_cut_out, "array<struct<key:long,stretch:long,text:binary>>")
-    texts = told.join(wanted, row).dropDuplicates(row).select("doc_id", F.explode(cut_out("text", "places")).alias("c")).select(F.col("doc_id").alias("least"), "c.*")
-    texts = cut(texts.withColumn("kinds", F.count("*").over(Window.partitionBy("key"))))
+    wanted = kinds.where("kinds > 1").select("doc_id", F.shiftright("place", 32).cast("int").alias("variant"), F.struct(*name, first, "n", "kinds").alias("p")).groupBy(*row).agg(F.collect_list("p").alias("places"))
+    cut_out = F.pandas_udf(_cut_out, "array<struct<key:long,stretch:long,kinds:long,text:binary>>")
+    texts = told.join(wanted, row).select("doc_id", F.explode(cut_out("text", "places")).alias("c")).select(F.col("doc_id").alias("least"), "c.*")
+    texts = cut(texts)
     few = texts.where(F.col("kinds") <= STRETCHES).withColumn("bucket", F.pmod("key", F.lit(8 * buckets)))
     segments = few.groupBy("bucket").applyInPandas(_sorted_bucket(length), "key long, stretch long, segments array<struct<a:int,b:int,least:long>>")
     segments = segments.select(*name, F.explode("segments").alias("s")).select(*name, "s.*")
