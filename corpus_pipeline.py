@@ -59,8 +59,8 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, source, the packed ids, their number, and a digest of what they decode to."""
     import public_tokenizers
 
-    for_python(spark, 1000)
-    done = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), remembered_words=50_000)  # workers still hold what earlier stages left
+    for_python(spark, 300)
+    done = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), remembered_words=20_000)  # workers still hold what earlier stages left
     return done.select("doc_id", "source", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

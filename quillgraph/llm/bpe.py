@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: The pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for Python's faster re, most common branch first (no text fits both it and a contraction). It
@@ -44,15 +46,15 @@ def byte_alphabet() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-#: Word encodings that a Python worker remembers (twice as many at most), at about 180 bytes each: a bound of memory, not of results.
+#: Word encodings (twice as many at most) and token pairs that a Python worker remembers, at 100 to 180 bytes each: a bound of memory, not of results.
 REMEMBERED_WORDS = 300_000
 
 
 class TrieBpe:
     """Encodes and decodes with the contents of a byte-level BPE vocabulary file."""
 
-    #: Token pairs and automaton steps that are remembered: bounds of memory, not of results.
-    REMEMBERED_PAIRS, REMEMBERED_STEPS = 300_000, 400_000
+    #: Automaton steps that are remembered: a bound of memory, not of results.
+    REMEMBERED_STEPS = 400_000
 
     def __init__(self, file_content: str, remembered_words: int = REMEMBERED_WORDS):
         self.remembered_words = remembered_words
@@ -156,7 +158,7 @@ class TrieBpe:
         """
         last, states, before = [0], [0], b""
         step, ends, pairs, size_of, swap = self.step, self.ends, self.pairs, self.size_of, sys.byteorder == "big"
-        if len(pairs) > self.REMEMBERED_PAIRS:
+        if len(pairs) > self.remembered_words:
             pairs.clear()
         for word in sorted(words):
             w = word.encode()
@@ -255,7 +257,9 @@ class Bpe:
 
         @F.pandas_udf("binary")
         def encode(texts: pd.Series) -> pd.Series:
-            return pd.Series(_of(key, sent, remembered_words).encode_batch(texts), dtype=object)
+            out = pd.Series(_of(key, sent, remembered_words).encode_batch(texts), dtype=object)
+            give_back()
+            return out
 
         @F.pandas_udf("string")
         def decode(packed: pd.Series) -> pd.Series:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system. Workers live on from stage to stage, so what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def packed(docs: DataFrame, columns: list[str]) -> Column:
     """The given columns as one struct named _in, so that no name of theirs clashes with a helper column."""
     return F.struct(*[docs[c] for c in columns], F.lit(0).alias("_")).alias("_in")

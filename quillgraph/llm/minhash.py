@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 from .components import connected_components, lower_labels
 
 BANDS, BAND_ROWS = 32, 5
@@ -111,6 +111,7 @@ def _sketch(text: Column, k: int, bands: int, rows: int) -> Column:
             words = words_of(t)
             sh = shingles(words, k)
             out.append((class_key(words), len(sh), band_keys(signature(sh, bands * rows), bands, rows) if len(sh) else None))
+        give_back()
         return pd.DataFrame(out, columns=["key", "n", "bands"])
 
     return F.pandas_udf(make, "key binary, n long, bands array<long>")(text)
@@ -119,6 +120,7 @@ def _sketch(text: Column, k: int, bands: int, rows: int) -> Column:
 def _full_set(text: Column, k: int) -> Column:
     def make(texts: pd.Series) -> pd.DataFrame:
         out = [(class_key(w), shingles(w, k).view(np.int64)) for w in map(words_of, texts)]
+        give_back()
         return pd.DataFrame(out, columns=["key", "set"])
 
     return F.pandas_udf(make, "key binary, set array<long>")(text)
@@ -191,6 +193,7 @@ def _compare_tiles(placed: DataFrame, label: DataFrame, sets: DataFrame, percent
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         names = tile["component"].to_numpy()
         found = tile_links([np.asarray(s) for s in tile["set"]], names, tile["side"].to_numpy(bool), tile["chunk"].to_numpy(), percent)
+        give_back()
         return pd.DataFrame({"ca": [names[i] for i, _ in found], "cb": [names[j] for _, j in found]})
 
     return dealt.join(sets, "key").groupBy("main", "lo", "hi").applyInPandas(compare, "ca binary, cb binary")
