@@ -1,10 +1,11 @@
 """License scans over a positional rare-token index, with DataFrame functions only.
 
 Licence templates are short sequences of words. How many texts hold each template word gives its
-inverse document frequency; a template is looked up by its rarest words. A file's positions of those
-words, moved back by their place in the template, are the starts at which the template may stand;
-for exact phrases the positions of all words are intersected that way, for longer notices the other
-words are compared in place, and mandatory key phrases must stand at their own relative position.
+inverse document frequency; a template is looked up by the rarest of those words without which it can't
+stand. A file's positions of such words, moved back by their place in the template, are the starts at which the
+template may stand; for exact phrases the positions of all words are intersected that way, for longer notices the
+other words are compared in place, and mandatory key phrases must stand at their own relative position. So a
+notice is looked up by one word of its key phrases, or, if it has none, by so many words that one stands in place.
 
 The only thing collected is the count of texts for each template word, a fixed number of rows.
 
@@ -60,8 +61,8 @@ NOTICES = (
     Template("unlicense-notice", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     Template("cc0", "cc0 1 0 universal", ("cc0 1 0",)),
 )
-#: Share of a notice's words that must stand in place, and how many of its rarest words it is looked up by.
-SHARE, RAREST = 0.8, 2
+#: Share of a notice's words that must stand in place.
+SHARE = 0.8
 
 
 def _postings(words: Column, vocabulary: list[str]) -> Column:
@@ -87,8 +88,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICE
     columns = [c for c in (columns or docs.columns) if c not in made]
     counts = document_counts(docs, sorted({w for t in (*base, *notices) for w in t.list}), text)
     rare = lambda t: sorted(range(len(t.list)), key=lambda j: (counts[t.list[j]], j))
-    lookup = sorted({w for t in base for w in t.list} | {t.list[j] for t in notices for j in rare(t)[:RAREST]})
-    anchors = [t.list[rare(t)[0]] for t in (*base, *notices)]
+    sought = {t: _sought(t, rare(t)) for t in notices}
+    anchors = {t.list[rare(t)[0]] for t in base} | {t.list[j] for t in notices for j in sought[t]}
+    lookup = sorted({w for t in base for w in t.list} | anchors)
     words = F.coalesce(F.regexp_extract_all(docs[text], F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
     seen = docs.select(packed(docs, columns), words.alias("_words"))
     seen = seen.select("_in", "_words", F.size("_words").cast("long").alias("n_words"), _postings(F.col("_words"), lookup).alias("_at"))
@@ -100,13 +102,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICE
 
     def near(t: Template) -> Column:
         in_place = lambda s, j: F.coalesce(F.lower(F.get(F.col("_words"), s + j)) == t.list[j], F.lit(False))
-        here = F.filter(F.array_distinct(F.concat(*[starts(t, j) for j in rare(t)[:RAREST]])), lambda s: s >= 0)
+        here = F.filter(F.array_distinct(F.concat(*[starts(t, j) for j in sought[t]])), lambda s: s >= 0)
         share = lambda s: reduce(lambda a, b: a + b, [in_place(s, j).cast("int") for j in range(len(t.list))]) / F.lit(float(len(t.list)))
-        keyed = lambda s: reduce(lambda a, b: a & b, [in_place(s, k) for phrase in t.key for k in _places(t, phrase)])
+        keyed = lambda s: reduce(lambda a, b: a & b, [in_place(s, k) for phrase in t.key for k in _places(t, phrase)], F.lit(True))
         scored = F.transform(F.filter(here, keyed), lambda s: F.struct(F.lit(t.label).alias("label"), s.alias("at"), share(s).alias("share")))
         return F.filter(scored, lambda x: x["share"] >= SHARE)
 
-    some = F.exists("_at", lambda x: x["w"].isin(sorted(set(anchors))))
+    some = F.exists("_at", lambda x: x["w"].isin(sorted(anchors)))
     hits = F.array_sort(F.concat(*[exact(t) for t in base]))
     more = F.array_sort(F.concat(*[near(t) for t in notices]))
     return seen.select(
@@ -117,6 +119,15 @@ def scan_licenses(docs: DataFrame, text: str = "text", base=BASE, notices=NOTICE
     )
 
 
+def _sought(t: Template, rare: list[int]) -> list[int]:
+    """Places of which one at least holds its word wherever a notice stands; rare: all places, the rarest word first."""
+    key = {k for phrase in t.key for k in _places(t, phrase)}
+    if key:
+        return [j for j in rare if j in key][:1]
+    n = len(rare)
+    return rare[: 1 + sum(m / n >= SHARE for m in range(n))]  # one more than may be missing
+
+
 def _places(t: Template, phrase: str) -> range:
     """Where a key phrase stands in its template."""
     wanted = phrase.split()

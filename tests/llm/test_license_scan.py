@@ -1,9 +1,10 @@
 """Phrases and notices against plain Python."""
 
+import math
 import random
 import re
 
-from quillgraph.llm.license_scan import BASE, NOTICES, SHARE, _places, scan_licenses
+from quillgraph.llm.license_scan import BASE, NOTICES, SHARE, Template, _places, scan_licenses
 
 
 def plain(text):
@@ -39,6 +40,31 @@ def test_only_ascii_case(spark):
     assert sum(len(r["base_hits"]) for r in rows) == 2
 
 
+def test_notices_without_their_rarest_words(spark):
+    """The rarest words of each notice are changed, as far as the share and the key phrase allow; the rest stands."""
+    texts = ["Redistributions and use in source and binary forms with or without modification are permitted", "permissions to using copy modify and or distribute this software for any purpose"]
+    rnd = random.Random(5)
+    for t in NOTICES:
+        key = {k for p in t.key for k in _places(t, p)}
+        others = [j for j in range(len(t.list)) if j not in key]
+        for _ in range(8):
+            gone = set(rnd.sample(others, min(len(others), len(t.list) - math.ceil(SHARE * len(t.list)))))
+            texts.append(" ".join("changed" if j in gone else w for j, w in enumerate(t.list)))
+    filler = [*[t.words for t in NOTICES], *["source and binary forms affero hereby distribute unencumbered"] * 50]  # what is rare changes with them
+    for more in ([], filler):
+        rows = check(spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string"))
+        assert all(r["notice_hits"] for r in rows if r["doc_id"] < len(texts))
+
+
+def test_notice_without_key_phrase(spark):
+    """Any words may be missing, as long as the share stands; the two rarest of ten as well."""
+    t = Template("ten", "one two three four five six seven eight nine ten")
+    texts = [" ".join("x" if j in (a, b) else w for j, w in enumerate(t.list)) for a in range(10) for b in range(a, 10)]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=(t,)).collect()
+    assert all([h["at"] for h in r["notice_hits"]] == [0] for r in rows)
+    assert [len(r["notice_hits"]) for r in scan_licenses(spark.createDataFrame([("x x x four five six seven eight nine ten",)], "text string"), notices=(t,)).collect()] == [0]
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert len(check(odd_docs)) == odd_docs.count()
     assert scan_licenses(no_docs).count() == 0
