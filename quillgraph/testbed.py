@@ -137,9 +137,8 @@ QUESTIONS_SQL = "q AS (SELECT event_id, [" + ", ".join(f"'{x}'" for x in QUESTIO
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Testbed A: the lines of documents of ASCII text."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select(S("doc_id").alias("paper_id"), F.lit(1).alias("page_number"), F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
+    """Testbed A: the lines of all documents."""
+    return table(spark, sf_dir, "documents").select(S("doc_id").alias("paper_id"), F.lit(1).alias("page_number"), F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
 
 
 DOCUMENT_LINES_SQL = "dl AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, 1 AS page_number, unnest(range(len(string_split(text, chr(10))))) AS ordinal, unnest(string_split(text, chr(10))) AS line FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
