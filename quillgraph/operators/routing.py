@@ -65,7 +65,7 @@ def rich_content(graph: Graph, question: str) -> tuple[str, DataFrame | None]:
 
 
 def context_lines(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """(rank, context) with one text per row. Fields that are missing or empty leave no line."""
+    """(rank, context, source) with one text per row. Fields that are missing or empty leave no line."""
     have = set(rows.columns)
     text = lambda c: F.nullif(F.col(c), F.lit("")) if c in have else F.lit(None).cast("string")
     full = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")) if c in have else F.array().cast("array<string>")
@@ -87,13 +87,17 @@ def context_lines(rows: DataFrame, order: list[Column]) -> DataFrame:
         listed("\nTables/Results:\n", "tables", "\n", lambda a: F.transform(a, lambda x: F.substring(x, 1, 600))),
         listed("\nFigures: ", "figure_captions", " | ", lambda a: F.slice(a, 1, 5)), listed("Key Concepts: ", "concepts", ", "),
     ]
-    return ranked.select("rank", F.concat_ws("\n", *parts).alias("context"))
+    return ranked.select("rank", F.concat_ws("\n", *parts).alias("context"), F.coalesce(text("title"), text("arxiv_id"), F.lit("Unknown")).alias("source"))
+
+
+def _context_and_sources(rows: DataFrame, order: list[Column]) -> tuple[str, list[str]]:
+    found = context_lines(rows, order).orderBy("rank").collect()
+    return "\n".join(r["context"] for r in found) if found else NOTHING_FOUND, [r["source"] for r in found]
 
 
 def context_string(rows: DataFrame, order: list[Column]) -> str:
     """R4 on the driver, for the few rows that a context query returns."""
-    found = [r["context"] for r in context_lines(rows, order).orderBy("rank").collect()]
-    return "\n".join(found) if found else NOTHING_FOUND
+    return _context_and_sources(rows, order)[0]
 
 
 def prompt(context: str, question: str) -> str:
@@ -102,12 +106,11 @@ def prompt(context: str, question: str) -> str:
 
 
 def ask(graph: Graph, question: str, model: Callable[[str], str] | None = None, limit: int = 10) -> dict:
-    """Retrieval, context and, if a model is given, its answer."""
+    """Retrieval, context and, if a model is given, its answer. sources: one for each row of the context, in its order."""
     rows = retrieve(graph, question, limit)
     order = [F.desc_nulls_first("published")] if "published" in rows.columns else []
-    context = context_string(rows, [*order, F.asc_nulls_last("arxiv_id")])
-    told = rows.select(F.coalesce(F.nullif("title", F.lit("")), F.nullif("arxiv_id", F.lit("")), F.lit("Unknown")).alias("s")).distinct().orderBy("s").limit(100)
-    return {"answer": model(prompt(context, question)) if model else None, "context": context, "query_type": _kind(graph.spark, question, query_type), "sources": [r["s"] for r in told.collect()]}
+    context, told = _context_and_sources(rows, [*order, F.asc_nulls_last("arxiv_id")])
+    return {"answer": model(prompt(context, question)) if model else None, "context": context, "query_type": _kind(graph.spark, question, query_type), "sources": told}
 
 
 def reparse_table(content: Column, headers: Column, keep_empty: bool = False) -> Column:

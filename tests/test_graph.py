@@ -122,6 +122,19 @@ def test_graph_round_trip(spark, tmp_path):
     assert counts(again) == counts(g)
 
 
+def test_ask_tells_the_source_of_every_row(spark):
+    n = 130
+    papers = spark.createDataFrame([(f"{i:03}", f"T{n - i}", "abc", "2024", None, "cs", []) for i in range(n)], "arxiv_id string, title string, abstract string, published string, pdf_url string, primary_category string, authors array<string>")
+    texts = spark.createDataFrame([], "paper_id string, entities map<string,array<string>>")
+    told = [(f"{i:03}", 1, k, "t", 2, 1, True, ["Method", "F1"], [["x", "9"]]) for i in range(n) for k in range(1 + (i == 0))]
+    tables = X.with_element_ids(spark.createDataFrame(told, "paper_id string, page_number int, table_index int, content string, col_count int, row_count int, is_benchmark boolean, headers array<string>, rows array<array<string>>"), "table", "table_index")
+    equations = X.with_element_ids(spark.createDataFrame([], "paper_id string, page_number int, eq_index int, latex string, source string"), "equation", "eq_index")
+    figures = X.with_element_ids(spark.createDataFrame([], "paper_id string, page_number int, i int, element_type string, fig_number string, content string, image_path string"), "figure", "i")
+    got = ask(G.build_graph(spark, "Topic", papers, texts, tables, equations, figures), "accuracy numbers")
+    assert got["sources"] == ["T130", *[f"T{n - i}" for i in range(n)]]
+    assert got["context"].count("PAPER ") == n + 1
+
+
 def test_json_sources(spark, tmp_path):
     paper = {"arxiv_id": "1", "title": "a\nb ", "authors": ["x"], "abstract": " c"}
     (tmp_path / "list.json").write_text(json.dumps([paper]))
