@@ -131,6 +131,30 @@ def test_equal_texts_stay_together(spark):
     assert all(len(v) == 1 for v in text.values())
 
 
+def test_runs_equal_single_items():
+    rnd = random.Random(12)
+    for _ in range(200):
+        sizes = sorted((rnd.randint(1, rnd.choice([5, 60])) for _ in range(rnd.randint(1, 80))), reverse=True)
+        capacity = max(sizes) + rnd.randint(0, 100)
+        runs = S.pack_runs([(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)], capacity)
+        assert [b for r in runs for b, n in r for _ in range(n)] == S.pack(sizes, capacity)
+
+
+def test_every_small_group_is_packed(spark):
+    """Loads are those of the packing of all groups one by one, though each group is below 1/4096 of all bytes."""
+    rnd = random.Random(13)
+    texts = [f"{i:05}" + "x" * rnd.choice([15, 22, rnd.randint(15, 40)]) for i in range(9000)]
+    got = S.assign_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    loads, want = [0] * 16, [0] * 16
+    sizes = sorted((len(t) + 1 for t in texts), reverse=True)
+    assert sizes[0] * 4096 < sum(sizes)
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    for size, shard in zip(sizes, S.into_shards(sizes, 16), strict=True):
+        want[shard] += size
+    assert loads == want and len(got) == len(texts)
+
+
 def test_sharding_odd_rows(odd_docs, no_docs):
     check(odd_docs, [(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     assert S.assign_shards(no_docs).count() == 0
