@@ -222,6 +222,13 @@ def _html_pages(s, d):
     return rows.select(F.array_join("t.headers", "|").alias("headers"), F.array_join(F.flatten("t.rows"), "|").alias("cells"))
 
 
+def _page_tables(s, d):
+    """The tables of the pages themselves; pages without rows of a table are left out."""
+    rows = table(s, d, "pages").select("page_id", X.html_rows(F.col("html")).alias("rows")).where(F.size("rows") > 0)
+    t = rows.select("page_id", X.split_header(F.col("rows")).alias("t"))
+    return t.select("page_id", F.array_join("t.headers", "|").alias("headers"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), "\n").alias("cells"))
+
+
 def _equations(s, d):
     e = T.equation_text(F.concat(F.col("line"), F.lit("   end")))
     return B.generated_lines(s, d).where("kind IN (4, 7)").select(e.alias("e")).groupBy("e.latex", "e.source").agg(F.count("*").alias("n"))
@@ -271,6 +278,7 @@ QUERIES = {
     "header_split": lambda s, d: B.generated_tables(s, d).select(X.split_header(F.concat(F.array("headers"), "rows")).alias("t")).select(F.array_join("t.headers", "|").alias("headers"), F.size("t.rows").alias("n_rows")).groupBy("headers", "n_rows").agg(F.count("*").alias("n")),
     "table_source_precedence": _table_source,
     "html_table_parse": _html_pages,
+    "page_tables": _page_tables,
     "equation_fallback": _equations,
     "caption_parse": _captions,
     "caption_match": lambda s, d: X.match_captions(_images(s, d), _caption_rows(s, d)).select("paper_id", "page_number", "fig_counter", "caption"),

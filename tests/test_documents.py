@@ -43,3 +43,10 @@ def test_whole_table(spark, sf_dir):
     words, mentions = plain(rows)
     assert sorted(map(tuple, QUERIES["word_counts"](spark, sf_dir).collect())) == words
     assert sorted(map(tuple, QUERIES["document_metric_mentions"](spark, sf_dir).collect())) == mentions
+
+
+def test_tables_of_pages(spark, tmp_path):
+    html = "<html><p>text</p><table><tr><th>Model</th><th>F1</th></tr><tr><td>é</td><td>9</td></tr><tr><td>b</td><td></td></tr></table></html>"
+    pages = [(1, html), (2, "<p>no table</p>"), (3, None), (4, "<table><tr><td>x</td><td>1</td></tr></table>")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, QUERIES["page_tables"](spark, str(tmp_path)).collect())) == [(1, "Model|F1", "é|9\nb|"), (4, "", "x|1")]
