@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters (Java and Python regex syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes in each part of a stored table.
+STORED_BYTES = 64 << 20
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,13 +44,25 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._quillgraph_path = path
     return out
 
 
+def store(df: DataFrame, key: str, total: int) -> DataFrame:
+    """Writes the rows to the shared folder, dealt by the hash of a column, so that later joins on it don't shuffle them; total: their bytes."""
+    spark = df.sparkSession
+    parts, name = max(2 * spark.sparkContext.defaultParallelism, -(-total // STORED_BYTES)), f"quillgraph_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    df.repartition(parts, key).write.format("parquet").option("compression", "zstd").bucketBy(parts, key).option("path", path).saveAsTable(name)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(name)
+    out._quillgraph_path, out._quillgraph_parts = path, parts
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that cut() wrote, once everything made from them is written itself."""
     for t in tables:

@@ -3,15 +3,20 @@
 Each byte covered by a string of `length` bytes that also starts in a document with a smaller id goes.
 
 One suffix array over a corpus doesn't divide, so equal strings are brought together first. Every window of
-`length` bytes has a key, the least hash of the `GRAM`-byte strings in it; equal windows have equal keys,
-and neighbouring windows mostly share theirs, so a run of them is one stretch of text. Keys that occur in
-one document alone drop out. Of the rest, equal stretches become one with the least id of their
-documents, and the suffix array of each bucket's stretches (by linear grouping construction) brings
-equal windows side by side: each gets the least id among all documents that hold it. Going back to
-every place of a stretch, the windows whose least id is below the document's own are removed.
+`length` bytes has a key, the least hash of the `GRAMS[0]`-byte strings in it; equal windows have equal
+keys, and neighbouring windows mostly share theirs, so a run of them is one stretch of text. Keys that one
+text alone holds drop out. Equal stretches are put in once, with the least id of their documents, and the
+suffix arrays of each key's stretches (by linear grouping construction) bring equal windows side by side: each
+gets the least id among all documents that hold it. Going back to every place of a stretch, the windows
+whose least id is below the document's own are removed.
 
-A key with only one stretch needs no sorting, and neither do windows whose hash occurs once in the bucket. A key with more than `STRETCHES` different stretches is
-not gathered into one task: its windows are grouped as they are, with the same result.
+Nothing is gathered without bound. Equal texts stand for one, and one of a smaller id takes all bytes of the
+others. A key with more than `CROWD` different stretches is split: its windows are keyed again by longer
+strings, in the end by themselves. A stretch has at most `RUN` windows. Windows whose hash no other window of
+their key has aren't sorted, as they repeat nowhere; equality is never taken from these hashes. Equal texts and
+stretches are told by SHA-256 and BLAKE2b, of 128 bits.
+
+Texts are stored once, dealt by row, and joined there with what later steps found, so that they aren't shuffled again.
 
 Defined results: null text is empty. Texts are UTF-8 bytes, whole, of any length. Rows with a null id
 neither lose bytes nor cost others any; equal ids don't count as smaller. Equal rows get equal results. An empty
@@ -20,20 +25,21 @@ table gives an empty table. Input columns pass through unless an added column ha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, packed, unpacked
-from .suffix_array import suffix_array
+from .common import cut, discard, packed, store, unpacked
+from .suffix_array import ranges, suffix_arrays
 
-GRAM = 20
-#: Text bytes for each bucket of keys, different stretches of a key that one task may sort, and buckets for each salt.
-BUCKET_BYTES, STRETCHES, SALT_BUCKETS = 64 << 20, 4096, 512
+#: Bytes of the strings whose least hash is a window's key, then of those that split crowded keys; windows themselves come last.
+GRAMS = (20, 35)
+#: Different stretches of a key that are sorted together, windows of a stretch, and text bytes for each bucket of keys.
+CROWD, RUN, BUCKET_BYTES = 16_384, 256, 64 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -56,162 +62,222 @@ def _grams(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def window_keys(data: bytes, length: int) -> np.ndarray:
+def window_keys(data: bytes, length: int, gram: int = GRAMS[0]) -> np.ndarray:
     """The key of each window of `length` bytes."""
-    m, size, span = _grams(np.frombuffer(data, np.uint8).astype(np.uint64), GRAM), 1, length - GRAM + 1
+    m, size, span = _grams(np.frombuffer(data, np.uint8).astype(np.uint64), gram), 1, length - gram + 1
     while size * 2 <= span:
         m, size = np.minimum(m[:-size], m[size:]), size * 2
     return np.minimum(m[: len(m) - (span - size)], m[span - size :]) if size < span else m
 
 
-def runs(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first window, key) of each run of windows with one key; a last entry closes the last run."""
-    keys = window_keys(data, length)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return np.append(first, len(keys)), keys[first]
+def _gram(level: int, length: int) -> int:
+    return min(GRAMS[level], length) if level < len(GRAMS) else length
+
 
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which keys are among the wanted ones, which are sorted."""
+    if not len(wanted):
+        return np.zeros(len(keys), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys
 
-def _keys_by_bucket(buckets: int, length: int, by_row: bool):
-    """by_row: (bucket, row keys, counts, hashes) of every row; else (bucket, keys of one row, keys of several) of a batch."""
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of each run of equal keys, of at most RUN windows."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    if len(size) and size.max() > RUN:
+        parts = -(-size // RUN)
+        within = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(first, parts) + within * RUN
+        size = np.diff(np.append(first, len(keys)))
+    return first, first + size
+
+
+def _packed_by(home: np.ndarray, keys: np.ndarray, of: np.ndarray, rows: np.ndarray, more: np.ndarray, more_home: np.ndarray) -> list[tuple]:
+    """(bucket, rows, counts, keys, more) for each bucket of `home` and `more_home`; of: the place of a key's row in `rows`."""
+    by, there = np.lexsort((of, home)), np.argsort(more_home, kind="stable")
+    home, keys, of, more, more_home = home[by], keys[by], of[by], more[there], more_home[there]
+    pair = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (of[1:] != of[:-1])])) if len(home) else np.zeros(0, np.int64)
+    counts, who, pair_home = np.diff(np.append(pair, len(home))).astype(np.int32), rows[of[pair]], home[pair]
+    present = np.union1d(home, more_home)
+    cuts = [np.searchsorted(x, present, side=side).tolist() for x in (pair_home, home, more_home) for side in ("left", "right")]
+    return [(b, who[i:j].tobytes(), counts[i:j].tobytes(), keys[k:m].tobytes(), more[n:o].tobytes()) for b, i, j, k, m, n, o in zip(present.tolist(), *cuts, strict=True)]
+
+
+def _keys_by_bucket(buckets: int, length: int):
+    """(bucket, rows, counts, keys, more) of each batch.
+
+    A key that several rows of a batch hold repeats for certain: its rows go to a bucket below 0, and its own
+    bucket is told of it once (`more`), so that a key which is everywhere costs a few bytes a batch.
+    """
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch["row"].to_dict("records") if isinstance(batch["row"], pd.DataFrame) else batch["row"]
-            found = [(r, np.unique(runs(t.encode(), length)[1])) for r, t in zip(rows, batch["text"], strict=True)]
+            found = [np.unique(window_keys(t.encode(), length, _gram(0, length))) for t in batch["text"]]
             if not found:
                 continue
-            flat = np.concatenate([k for _, k in found])
-            of = np.repeat(np.arange(len(found)), [len(k) for _, k in found])
-            out = []
-            if by_row:
-                home = (flat % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    sel = order[cuts[b] : cuts[b + 1]]
-                    if len(sel):
-                        who, counts = np.unique(of[sel], return_counts=True)
-                        out.append((b, [found[i][0]["doc_id"] for i in who], [found[i][0]["variant"] for i in who], counts.tolist(), flat[sel].tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "docs", "variants", "counts", "keys"])
-            else:
-                keys, counts = np.unique(flat, return_counts=True)
-                home = keys % np.uint64(buckets)
-                for b in range(buckets):
-                    mine = home == b
-                    if mine.any():
-                        out.append((b, keys[mine & (counts == 1)].tobytes(), keys[mine & (counts > 1)].tobytes()))
-                yield pd.DataFrame(out, columns=["bucket", "once", "more"])
+            rows, flat = batch["row"].to_numpy(np.int64), np.concatenate(found)
+            of = np.repeat(np.arange(len(found)), [len(k) for k in found])
+            keys, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+            several, more = counts[at] > 1, keys[counts > 1]
+            bucket = lambda k: (k % np.uint64(buckets)).astype(np.int64)
+            out = _packed_by(bucket(flat[~several]), flat[~several], of[~several], rows, more, bucket(more))
+            out += _packed_by(-1 - of[several] % buckets, flat[several], of[several], rows, more[:0], np.zeros(0, np.int64))
+            yield pd.DataFrame(out, columns=["bucket", "rows", "counts", "keys", "more"])
 
     return make
 
 
-def _join(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), np.uint64)
+def _join(parts, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
+
+
+def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
+    """(row, keys): of each row, the keys of this bucket that other rows hold too."""
+    keys, counts, rows = _join(bucket["keys"]), _join(bucket["counts"], np.int32), _join(bucket["rows"], np.int64)
+    if bucket["bucket"].iloc[0] >= 0:
+        names, at, often = np.unique(np.concatenate([keys, _join(bucket["more"])]), return_inverse=True, return_counts=True)
+        kept = often[at[: len(keys)]] > 1
+    else:
+        kept = np.ones(len(keys), bool)
+    ends = np.cumsum(counts)
+    left = np.add.reduceat(kept, ends - counts) if len(counts) else counts
+    keys, some = keys[kept], np.flatnonzero(left)
+    ends = np.cumsum(left)
+    return pd.DataFrame({"row": rows[some], "keys": [keys[a:b].tobytes() for a, b in zip((ends - left)[some].tolist(), ends[some].tolist(), strict=True)]})
 
 
-def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    """The keys of a bucket that several rows hold."""
-    once, more = _join(rows["once"]), np.unique(_join(rows["more"]))
-    keys, counts = np.unique(np.concatenate([once, more]), return_counts=True)
-    kept = np.union1d(keys[counts > 1], more)
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[:1].to_numpy(), "keys": [kept.tobytes()]})
+def _name(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _surviving(rows: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, variant, keys) for the rows of a bucket that hold repeated keys."""
-    wanted, out = _join(repeated["keys"]), []
-    for docs, variants, counts, packed in zip(rows["docs"], rows["variants"], rows["counts"], rows["keys"], strict=True):
-        keys = np.frombuffer(packed, np.uint64)
-        at = np.minimum(np.searchsorted(wanted, keys), max(len(wanted) - 1, 0))
-        kept = wanted[at] == keys if len(wanted) else np.zeros(len(keys), bool)
-        ends = np.cumsum(counts)
-        for doc, variant, lo, hi in zip(docs, variants, ends - counts, ends, strict=True):
-            if kept[lo:hi].any():
-                out.append((doc, variant, keys[lo:hi][kept[lo:hi]].tobytes()))
-    return pd.DataFrame(out, columns=["doc_id", "variant", "keys"])
+PLACE = "key long, name binary, n int, row long, doc_id long, first int"
+CUT = "key long, name binary, least long, most long, kinds long, text binary"
+FINER = "of binary, first int, key long, name binary, least long, most long, text binary"
+SEGMENT = "name binary, a int, b int, least long"
 
 
 def _stretches(length: int):
-    """(key, stretch, n, doc_id, variant, first): where each row holds a run of windows with a repeated key; n is its bytes."""
+    """PLACE: where each row holds a run of windows with one of its given keys; n is its bytes."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc, variant, text, packed in zip(batch["doc_id"], batch["variant"], batch["text"], batch["keys"], strict=True):
-                data, wanted = text.encode(), np.sort(_join(packed))
-                first, keys = runs(data, length)
-                at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                held = np.flatnonzero(wanted[at] == keys)
-                lo, hi = first[held], first[held + 1] + length - 1
-                names = [xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
-                out.append((keys[held].view(np.int64), np.array(names, np.uint64).view(np.int64), hi - lo, np.full(len(held), doc), np.full(len(held), variant), lo))
+            out, names = [], []
+            for row, doc, text, given in zip(batch["row"], batch["doc_id"], batch["text"], batch["keys"], strict=True):
+                data = text.encode()
+                keys = window_keys(data, length, _gram(0, length))
+                lo, hi = runs(keys)
+                held = _among(keys[lo], np.sort(_join(given)))
+                lo, hi = lo[held], hi[held] + length - 1
+                names += [_name(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+                out.append((keys[lo].view(np.int64), hi - lo, np.full(len(lo), row), np.full(len(lo), doc), lo))
             if out:
-                yield pd.DataFrame(dict(zip(["key", "stretch", "n", "doc_id", "variant", "first"], map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                key, n, row, doc, first = map(np.concatenate, zip(*out, strict=True))
+                yield pd.DataFrame({"key": key, "name": names, "n": n, "row": row, "doc_id": doc, "first": first})
 
     return make
 
 
-def _cut_out(texts: pd.Series, places: pd.Series) -> pd.Series:
-    """The bytes at the places (first, n) of each text, with what names them."""
+def _finer(length: int, level: int):
+    """FINER: the stretches that the keys of a level make of stretches; of: the stretch they are in, first: their place there."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for of, least, most, text in zip(batch["name"], batch["least"], batch["most"], batch["text"], strict=True):
+                data = bytes(text)
+                keys = window_keys(data, length, _gram(level, length))
+                for lo, hi in zip(*(x.tolist() for x in runs(keys)), strict=True):
+                    piece = data[lo : hi + length - 1]
+                    out.append((of, lo, int(keys[lo].view(np.int64)), _name(piece), least, most, piece))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FINER.split(", ")])
+
+    return make
+
+
+def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """CUT: the bytes at the places of each text, with what names them."""
+    for batch in batches:
+        out: dict[str, list] = {c.split()[0]: [] for c in CUT.split(", ")}
+        for text, places in zip(batch["text"], batch["places"], strict=True):
+            data = text.encode()
+            for p in places:
+                for c in ("key", "name", "least", "most", "kinds"):
+                    out[c].append(p[c])
+                out["text"].append(data[p["first"] : p["first"] + p["n"]])
+            if len(out["text"]) > 100_000:
+                yield pd.DataFrame(out)
+                out = {c: [] for c in out}
+        yield pd.DataFrame(out)
+
+
+def _hashes(texts: list[bytes], sizes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window of each text, many texts at a time."""
+    begin = np.cumsum(sizes) - sizes
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, int(sizes.sum()), 1 << 17)), len(texts)))
     out = []
-    for text, given in zip(texts, places, strict=True):
-        data = text.encode()
-        out.append([{"key": g["key"], "stretch": g["stretch"], "kinds": g["kinds"], "text": data[g["first"] : g["first"] + g["n"]]} for g in given])
-    return pd.Series(out, dtype=object)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        flat = np.frombuffer(b"".join(texts[i:j]), np.uint8).astype(np.uint64)
+        out.append(_grams(flat, length)[ranges(begin[i:j] - begin[i], sizes[i:j] - length + 1)])
+    return np.concatenate(out)
 
 
-def least_ids(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each text, the least id of the texts that hold the window, for each of its windows."""
-    joined = b"\xff".join(texts)  # no UTF-8 text holds this byte
+def least_ids(keys: np.ndarray, texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each text, the least id of the texts of its key that hold it; and how many windows each text has."""
     sizes = np.array([len(t) for t in texts])
-    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    of = np.repeat(np.arange(len(texts)), sizes + 1)[: len(joined)]
-    order = np.array(suffix_array(joined), dtype=np.int64)
-    order = order[order + length <= (begin + sizes)[of[order]]]
-    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(joined, np.uint8), length)
+    windows = sizes - length + 1
+    begin, of = np.cumsum(windows) - windows, np.repeat(np.arange(len(texts)), windows)
+    _, name, count = np.unique(_hashes(texts, sizes, length) + keys.view(np.uint64)[of] * np.uint64(_BASE), return_inverse=True, return_counts=True)
+    often, least = count[name] > 1, docs[of]
+    cuts = np.flatnonzero(np.concatenate([[True], (often[1:] != often[:-1]) | (of[1:] != of[:-1])]))  # runs of windows that may repeat, or don't
+    ends, held = np.append(cuts[1:], len(often)), often[cuts]
+    pieces: dict[tuple[int, bytes], list[int]] = {}  # equal runs of a key are sorted once: their least id, then their place
+    spots = []
+    for lo, hi, i, at in zip(cuts[held].tolist(), ends[held].tolist(), of[cuts[held]].tolist(), (cuts - begin[of[cuts]])[held].tolist(), strict=True):
+        piece = pieces.setdefault((int(keys[i]), texts[i][at : at + hi - lo + length - 1]), [int(docs[i])])
+        piece[0] = min(piece[0], int(docs[i]))
+        spots.append((lo, hi, piece))
+    if not spots:
+        return least, windows
+    by_key: dict[int, list[tuple[bytes, list[int]]]] = {}
+    for (k, text), piece in pieces.items():
+        by_key.setdefault(k, []).append((text, piece))
+    laid = [p for same in by_key.values() for p in same]
+    size = np.array([len(t) + 1 for t, _ in laid])  # a byte that no UTF-8 text holds follows each
+    at = np.cumsum(size) - size
+    for (_, piece), a in zip(laid, at.tolist(), strict=True):
+        piece.append(a)
+    problems = [b"".join(t + b"\xff" for t, _ in same) for same in by_key.values()]
+    flat = np.frombuffer(b"".join(problems), np.uint8)
+    problem = np.repeat(np.arange(len(problems)), [len(p) for p in problems])
+    ids, room = np.repeat(np.array([p[0] for _, p in laid], np.int64), size), np.repeat(at + size - 1, size)
+    order = suffix_arrays(problems)
+    order = order[order + length <= room[order]]
+    view = np.lib.stride_tricks.sliding_window_view(flat, length)
     fresh = np.ones(len(order), bool)
-    for i in range(0, len(order) - 1, 65_536):
+    for i in range(0, len(order) - 1, 65_536):  # windows side by side are compared byte by byte
         a = order[i : i + 65_537]
-        fresh[i + 1 : i + len(a)] = (windows[a[1:]] != windows[a[:-1]]).any(1)
+        fresh[i + 1 : i + len(a)] = (view[a[1:]] != view[a[:-1]]).any(1) | (problem[a[1:]] != problem[a[:-1]])
     starts = np.flatnonzero(fresh)
-    least = np.empty(len(joined), np.int64)
-    if len(order):
-        run = np.minimum.reduceat(docs[of[order]], starts)
-        least[order] = np.repeat(run, np.diff(np.append(starts, len(order))))
-    return [least[b : b + s - length + 1] for b, s in zip(begin, sizes, strict=True)]
-
-
-def trimmed_least_ids(texts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """As least_ids. A window whose hash occurs once is in one text only; just runs of other windows are sorted, equal runs once."""
-    hashes = [_grams(np.frombuffer(t, np.uint8).astype(np.uint64), length) for t in texts]
-    _, name, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    often, at = count[name] > 1, 0
-    out, runs, pieces = [], [], {}
-    for i, h in enumerate(hashes):
-        mine = often[at : at + len(h)]
-        at += len(h)
-        out.append(np.full(len(h), docs[i]))
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]])))
-        for lo, hi in edges.reshape(-1, 2).tolist():
-            piece = texts[i][lo : hi + length - 1]
-            pieces[piece] = min(pieces.get(piece, docs[i]), docs[i])
-            runs.append((i, lo, hi, piece))
-    if pieces:
-        found = dict(zip(pieces, least_ids(list(pieces), np.array(list(pieces.values()), np.int64), length), strict=True))
-        for i, lo, hi, piece in runs:
-            out[i][lo:hi] = found[piece]
-    return out
-
-
-def _segments(least: np.ndarray) -> list[dict]:
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return [{"a": int(a), "b": int(b), "least": int(least[a])} for a, b in zip(first, np.append(first[1:], len(least)), strict=True)]
+    found = np.empty(len(flat), np.int64)
+    found[order] = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff(np.append(starts, len(order))))
+    for lo, hi, (_, a) in spots:
+        least[lo:hi] = found[a : a + hi - lo]
+    return least, windows
 
 
 def _sorted_bucket(length: int):
+    """(name, a, b, least): the windows a to b of a stretch stand in a document of a smaller id than the greatest that holds the stretch."""
+
     def make(rows: pd.DataFrame) -> pd.DataFrame:
-        found = trimmed_least_ids([bytes(t) for t in rows["text"]], rows["least"].to_numpy(np.int64), length)
-        return pd.DataFrame({"key": rows["key"].to_numpy(), "stretch": rows["stretch"].to_numpy(), "segments": [_segments(x) for x in found]})
+        flat, sizes = least_ids(rows["key"].to_numpy(np.int64), [bytes(t) for t in rows["text"]], rows["least"].to_numpy(np.int64), length)
+        begin, of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])]))
+        end = np.append(first[1:], len(flat))
+        kept = flat[first] < rows["most"].to_numpy(np.int64)[of[first]]
+        first, end = first[kept], end[kept]
+        text = of[first]
+        return pd.DataFrame({"name": rows["name"].to_numpy()[text], "a": first - begin[text], "b": end - begin[text], "least": flat[first]})
 
     return make
 
@@ -237,57 +303,51 @@ def _carve(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_bytes"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, variant, spans): the bytes to remove of each row of (doc_id, variant, text) that loses any; spans may overlap.
-
-    A variant tells rows of one id apart by their text.
+def _settled(told: DataFrame, level: int, length: int, buckets: int, used: list[DataFrame]) -> DataFrame:
+    """SEGMENT for the stretches of CUT, by suffix arrays over the stretches of each key; crowded keys are split first."""
+    last = _gram(level, length) == length
+    few = told if last else told.where(F.col("kinds") <= CROWD)
+    segments = few.withColumn("bucket", F.pmod("key", F.lit(4 * buckets))).groupBy("bucket").applyInPandas(_sorted_bucket(length), SEGMENT)
+    crowded = told.where(F.col("kinds") > CROWD)
+    if last or crowded.isEmpty():
+        return segments
+    finer = cut(crowded.select("name", "least", "most", "text").mapInPandas(_finer(length, level + 1), FINER))
+    classes = finer.groupBy("key", "name").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("text").alias("text"))
+    classes = cut(classes)
+    inner = cut(classes.join(classes.groupBy("key").agg(F.count("*").alias("kinds")), "key"))
+    used += [finer, classes, inner]
+    found = _settled(inner, level + 1, length, buckets, used).withColumnRenamed("least", "of_all")
+    up = finer.select("of", "first", "name").join(found, "name").select(F.col("of").alias("name"), (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"), F.col("of_all").alias("least"))
+    return segments.unionByName(up)
+
+
+def repeated_spans(texts: DataFrame, stand: DataFrame, parts: int, total: int, length: int = 50) -> DataFrame:
+    """(row, spans): the bytes to remove of rows of (row, doc_id, text); spans may overlap.
+
+    texts: dealt by row into `parts`, so that what is dealt alike joins them without a shuffle of text; stand: the rows
+    to look at, of which no two have the same text; total: the bytes of all texts.
     """
-    row = ["doc_id", "variant"]
-    told = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    # a text that is equal to one of a smaller id goes as a whole and isn't looked at further
-    named = told.select(*row, F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.octet_length("text").alias("n"))
-    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    named = named.join(firsts, "digest").groupBy(*row).agg(F.first("n").alias("n"), F.first(F.col("doc_id") > F.col("least")).alias("copy"), F.count("*").alias("times"))
-    named = cut(named)
-    if not named.where("times > 1").isEmpty():  # repeated rows count once; where there are none, texts needn't be grouped
-        told = told.dropDuplicates(row)
-    total = named.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
-    salts = -(-buckets // SALT_BUCKETS)
-    rows = told.select(F.struct(*row).alias("row"), "text")
-    once = rows.mapInPandas(_keys_by_bucket(buckets, length, False), "bucket int, once binary, more binary")
-    repeated = cut(once.groupBy("bucket").applyInPandas(_repeated, "bucket int, keys binary"))
-    by_row = rows.mapInPandas(_keys_by_bucket(buckets, length, True), "bucket int, docs array<long>, variants array<int>, counts array<int>, keys binary")
-    by_row = by_row.withColumn("salt", F.pmod(F.xxhash64("keys"), F.lit(salts)).cast("int"))
-    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = by_row.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInPandas(_surviving, "doc_id long, variant int, keys binary")
-    held = left.groupBy(*row).agg(F.collect_list("keys").alias("keys"))  # a row's own keys, once each
-    held = cut(held.join(named.where("NOT copy").select(*row), row, "left_semi"))
-    places = told.join(held, row).select(*row, "text", "keys").mapInPandas(_stretches(length), "key long, stretch long, n int, doc_id long, variant int, first int")
-    places = cut(places)
-    discard(repeated, held)
-    name = ["key", "stretch"]
-    place = F.shiftleft(F.col("variant").cast("long"), 32).bitwiseOR(F.col("first").cast("long"))  # one number, which a hash aggregate can hold
-    kinds = places.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.min_by(place, "doc_id").alias("place"), F.min("n").alias("n"), F.count("*").alias("held"))
-    kinds = cut(kinds.withColumn("kinds", F.count("*").over(Window.partitionBy("key"))).where("kinds > 1 OR held > 1"))
-    whole = kinds.where("kinds = 1").select(*name, F.lit(0).alias("a"), (F.col("n") - (length - 1)).alias("b"), F.col("doc_id").alias("least"))
-    first = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first")
-    wanted = kinds.where("kinds > 1").select("doc_id", F.shiftright("place", 32).cast("int").alias("variant"), F.struct(*name, first, "n", "kinds").alias("p")).groupBy(*row).agg(F.collect_list("p").alias("places"))
-    cut_out = F.pandas_udf(_cut_out, "array<struct<key:long,stretch:long,kinds:long,text:binary>>")
-    texts = told.join(wanted, row).select("doc_id", F.explode(cut_out("text", "places")).alias("c")).select(F.col("doc_id").alias("least"), "c.*")
-    texts = cut(texts)
-    few = texts.where(F.col("kinds") <= STRETCHES).withColumn("bucket", F.pmod("key", F.lit(8 * buckets)))
-    segments = few.groupBy("bucket").applyInPandas(_sorted_bucket(length), "key long, stretch long, segments array<struct<a:int,b:int,least:long>>")
-    segments = segments.select(*name, F.explode("segments").alias("s")).select(*name, "s.*")
-    window = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("text") - (length - 1)), lambda i: F.substring("text", i, length)))
-    many = texts.where(F.col("kinds") > STRETCHES).select(*name, "least", window.alias("a", "window"))
-    ids = many.groupBy("window").agg(F.min("least").alias("of_all"))
-    many = many.join(ids, "window").select(*name, "a", (F.col("a") + 1).alias("b"), F.col("of_all").alias("least"))
-    spans = places.join(whole.union(segments).union(many), name).where("least < doc_id")
+    looked = texts.join(stand.select("row").hint("shuffle_hash"), "row", "left_semi").select("row", "text")
+    keyed = looked.mapInPandas(_keys_by_bucket(buckets, length), "bucket long, rows binary, counts binary, keys binary, more binary")
+    held = keyed.groupBy("bucket").applyInPandas(_repeated, "row long, keys binary")
+    held = held.repartition(parts, "row").groupBy("row").agg(F.collect_list("keys").alias("keys"))  # a row's own keys, once each
+    places = cut(texts.join(held.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "keys").mapInPandas(_stretches(length), PLACE))
+    classes = places.groupBy("key", "name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("row").alias("row"), F.min_by("first", "row").alias("first"), F.min("n").alias("n"))
+    classes = cut(classes)
+    keys = classes.groupBy("key").agg(F.count("*").alias("kinds"), F.min("least").alias("from"), F.max("most").alias("to")).where("from < to").select("key", "kinds")
+    classes_of = cut(classes.join(keys, "key"))
+    discard(classes)
+    whole = classes_of.where("kinds = 1").select("name", F.lit(0).alias("a"), (F.col("n") - (length - 1)).alias("b"), "least")
+    wanted = classes_of.where("kinds > 1").repartition(parts, "row").groupBy("row").agg(F.collect_list(F.struct("key", "name", "first", "n", "least", "most", "kinds")).alias("places"))
+    told = cut(texts.join(wanted.hint("shuffle_hash"), "row").select("text", "places").mapInPandas(_cut_out, CUT))
+    used: list[DataFrame] = []
+    segments = cut(whole.unionByName(_settled(told, 0, length, buckets, used)))
+    discard(classes_of, told, *used)
     span = F.struct((F.col("first") + F.col("a")).alias("from"), (F.col("first") + F.col("b") + (length - 1)).alias("to"))
-    copies = named.where("copy").select(*row, F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))).alias("spans"))
-    out = cut(spans.groupBy(*row).agg(F.collect_list(span).alias("spans")).union(copies))  # within one row
-    discard(places, kinds, texts, named)
+    spans = places.join(segments, "name").where("least < doc_id").select("row", span.alias("span"))
+    out = cut(spans.groupBy("row").agg(F.collect_list("span").alias("spans")))  # within one row
+    discard(places, segments)
     return out
 
 
@@ -298,11 +358,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     """
     made = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     columns = [c for c in (columns or docs.columns) if c not in made]
-    variant = F.hash(docs[text])
-    given = docs.select(docs[doc_id].cast("long").alias("doc_id"), variant.alias("variant"), docs[text].alias("text"))
-    spans = repeated_spans(given, length).select(F.col("doc_id").alias("_id"), F.col("variant").alias("_of"), F.col("spans").alias("_spans"))
-    told = docs.select(packed(docs, columns), docs[text].alias("_text"), docs[doc_id].cast("long").alias("_doc_id"), variant.alias("_variant"))
-    both = told.join(spans, (F.col("_doc_id") == F.col("_id")) & (F.col("_variant") == F.col("_of")), "left")
+    id_, n = docs[doc_id].cast("long"), F.octet_length(docs[text])
+    total = docs.agg(F.sum(n.cast("long"))).first()[0] or 0
+    digest = F.when(id_.isNotNull() & (n >= length), F.unhex(F.substring(F.sha2(docs[text].cast("binary"), 256), 1, 32)))
+    rows = store(docs.select(packed(docs, columns), id_.alias("doc_id"), docs[text].alias("text"), n.alias("n"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")), "row", total)
+    named = rows.where("digest IS NOT NULL").select("row", "doc_id", "n", "digest")
+    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("stands"))
+    roles = cut(named.join(firsts, "digest").select("row", "n", "stands", (F.col("doc_id") > F.col("least")).alias("copy")))
+    texts = rows.select("row", "doc_id", "text")
+    spans = repeated_spans(texts, roles.where("row = stands"), rows._quillgraph_parts, total, length)
+    copies = roles.where("copy").select("row", F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))).alias("spans"))
+    again = roles.where("NOT copy AND row <> stands").select("row", "stands")  # rows that repeat with id and text
+    again = again.join(spans.withColumnRenamed("row", "stands"), "stands").select("row", "spans")
+    both = rows.join(spans.unionByName(copies).unionByName(again).hint("shuffle_hash"), "row", "left")
     carve = F.pandas_udf(_carve, "n_removed long, n_spans long, kept_bytes binary")
-    out = both.select("_in", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"), carve("_text", "_spans").alias("_c"))
+    out = both.select("_in", F.coalesce("n", F.lit(0)).cast("long").alias("n_bytes"), carve("text", "spans").alias("_c"))
     return out.select(*unpacked(columns), "n_bytes", "_c.*")

@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from quillgraph.llm import repeats as R
+from quillgraph.llm import suffix_array as S
 from quillgraph.llm.suffix_array import suffix_array
 
 
@@ -18,6 +20,24 @@ def test_suffix_array_equals_sorting():
         assert suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_many_texts_at_once(monkeypatch):
+    rnd = random.Random(4)
+    for step_bytes in (0, 40):
+        monkeypatch.setattr(S, "STEP_BYTES", step_bytes)
+        for _ in range(60):
+            texts = [bytes(rnd.randint(0, rnd.choice([0, 1, 2, 5, 255])) for _ in range(rnd.randint(0, 60))) for _ in range(rnd.randint(1, 80))]
+            texts += [b"ab" * rnd.randint(1, 40), b"banana" * 9]
+            at, order = 0, S.suffix_arrays(texts).tolist()
+            for t in texts:
+                assert [i - at for i in order[at : at + len(t)]] == sorted(range(len(t)), key=lambda i: t[i:])
+                at += len(t)
+
+
+def test_runs_are_split():
+    first, end = R.runs(np.array([7] * 600 + [8] + [9] * 256, np.uint64))
+    assert list(zip(first.tolist(), end.tolist(), strict=True)) == [(0, 256), (256, 512), (512, 600), (600, 601), (601, 857)]
+
+
 def brute(rows, length):
     owner = {}
     for d, text in rows:
@@ -56,10 +76,9 @@ def test_equal_to_all_windows(spark, seed):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 50)
 
 
-def test_crowded_keys_and_salts_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(R, "STRETCHES", 1)
-    monkeypatch.setattr(R, "SALT_BUCKETS", 2)
-    rows = corpus(3)
+def test_split_keys_and_runs_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(R, "CROWD", 1)  # so that keys are split down to single windows
+    rows = [*corpus(3), (200, "ab" * 1500), (201, "x" + "ab" * 1400), (202, "ba" * 700)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 50)
 
 
