@@ -72,6 +72,10 @@ def _sql_re(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
+#: White space as str.split() knows it, for RE2, whose own class is ASCII.
+SPACE_CLASS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: A line whose letters and numerals beyond ASCII are q, which no metric holds, and whose other characters beyond ASCII are ~, as RE2's word boundary is ASCII.
+ASCII_LINE = r"regexp_replace(regexp_replace(line, '[^\p{L}\p{N}\x00-\x7F]', '~', 'g'), '[^\x00-\x7F]', 'q', 'g')"
 LINE_TYPE_SQL = f"""CASE WHEN regexp_matches(line, {_sql_re("(?i)" + T.LINE_CAPTION)}) THEN 'FigureCaption' WHEN regexp_matches(line, {_sql_re("(?i)" + T.LINE_TITLE)}) AND length(line) < 80 THEN 'Title'
  WHEN regexp_matches(line, {_sql_re(T.LINE_FORMULA)}) AND length(line) < 200 THEN 'Formula' ELSE 'NarrativeText' END"""
 KEEPS_SQL = r"(length(line) >= 15 AND NOT regexp_matches(line, '^\[\d+\]') AND NOT regexp_matches(line, '^\d+\.\s+[A-Z]'))"
@@ -329,11 +333,11 @@ ORACLE_SQL = {
     "classify_section": f"WITH {B.LINES_SQL} SELECT {SECTION_SQL} AS section, kind, count(*) AS n FROM lines GROUP BY 1, 2",
     "section_carry_forward": CARRY_SQL,
     "text_elements": f"WITH {B.LINES_SQL}, t AS (SELECT line, {LINE_TYPE_SQL} AS raw_type FROM lines) SELECT CASE WHEN raw_type = 'Title' THEN 'title' ELSE 'text' END AS element_type, CASE WHEN raw_type = 'Title' THEN {SECTION_SQL} ELSE 'body' END AS section, count(*) AS n, CAST(sum(CASE WHEN line LIKE 'We train BERT%' THEN 2 ELSE 0 END) AS BIGINT) AS methods FROM t WHERE raw_type IN ('Title', 'NarrativeText') AND {KEEPS_SQL} GROUP BY 1, 2",
-    "word_counts": f"WITH {B.DOCUMENT_LINES_SQL} SELECT paper_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(len(regexp_extract_all(line, '[^\\s\\x0B\\x1C-\\x1F]+')) AS BIGINT) AS words FROM dl",
+    "word_counts": f"WITH {B.DOCUMENT_LINES_SQL} SELECT paper_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(len(regexp_extract_all(line, '[^{SPACE_CLASS}]+')) AS BIGINT) AS words FROM dl",
     "dataset_mentions": _mention_sql(T.DATASETS, 2),
     "metric_mentions": _mention_sql(T.METRICS, 1),
     "method_mentions": _mention_sql(T.METHODS, 2),
-    "document_metric_mentions": f"WITH {B.DOCUMENT_LINES_SQL}, e AS (SELECT paper_id, unnest(list_distinct(list_filter(regexp_extract_all(line, {_sql_re('(?i)' + T.mention_pattern(T.METRICS))}), lambda x: length(x) > 1))) AS name FROM dl) SELECT name, count(*) AS n, count(DISTINCT paper_id) AS papers FROM e GROUP BY 1",
+    "document_metric_mentions": f"WITH {B.DOCUMENT_LINES_SQL}, e AS (SELECT paper_id, unnest(list_distinct(list_filter(regexp_extract_all({ASCII_LINE}, {_sql_re('(?i)' + T.mention_pattern(T.METRICS))}), lambda x: length(x) > 1))) AS name FROM dl) SELECT name, count(*) AS n, count(DISTINCT paper_id) AS papers FROM e GROUP BY 1",
     "normalise_types": "WITH k AS (SELECT [" + ", ".join(f"'{v}'" for v in [*T.RAW_TYPES.values(), "text"]) + "][event_id % 14 + 1] AS kind FROM events) SELECT kind, count(*) AS n FROM k GROUP BY 1",
     "type_breakdown": f"WITH {B.LINES_SQL}, t AS (SELECT {LINE_TYPE_SQL} AS r FROM lines) SELECT CASE r WHEN 'FigureCaption' THEN 'caption' WHEN 'Title' THEN 'title' WHEN 'Formula' THEN 'equation' ELSE 'text' END AS kind, count(*) AS n FROM t GROUP BY 1",
     "benchmark_table_test": f"WITH {B.TABLES_SQL} SELECT contains(headers[2], 'accuracy') OR contains(headers[2], 'map') AS benchmark, contains(headers[2], 'accuracy') AS by_word, count(*) AS n FROM tabs GROUP BY 1, 2",

@@ -141,4 +141,4 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(S("doc_id").alias("paper_id"), F.lit(1).alias("page_number"), F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "line"))
 
 
-DOCUMENT_LINES_SQL = "dl AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, 1 AS page_number, unnest(range(len(string_split(text, chr(10))))) AS ordinal, unnest(string_split(text, chr(10))) AS line FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+DOCUMENT_LINES_SQL = "dl AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, 1 AS page_number, unnest(range(len(string_split(text, chr(10))))) AS ordinal, unnest(string_split(text, chr(10))) AS line FROM documents)"
