@@ -124,9 +124,10 @@ def _op8_sql() -> str:
         places = [k for phrase in t.key for k in license_scan._places(t, phrase)]
         keyed = " AND ".join(f"w[p + {k + 1}] = '{t.list[k]}'" for k in places)
         notices.append(f"SELECT r, p AS pos, '{t.label}' AS label, ({share}) / {len(t.list)}.0::DOUBLE AS share, 0 AS base FROM o WHERE {keyed}")
+    must = sorted({t.list[0] for t in license_scan.BASE} | {t.key[0].split()[0] for t in license_scan.NOTICES})  # one of them stands wherever something is found
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-o AS (SELECT r, w, unnest(range(0, len(w))) AS p FROM d WHERE list_has_any(w, ['gnu', 'license', 'cc', 'mozilla', 'hereby', 'distribute', 'redistribution', 'software', 'cc0'])),
+o AS (SELECT r, w, unnest(range(0, len(w))) AS p FROM d WHERE list_has_any(w, {listed(must)})),
 h AS ({base} UNION ALL {" UNION ALL ".join(notices)}),
 a AS (SELECT r, count(*) FILTER (WHERE base = 1) AS n_base, min(pos) FILTER (WHERE base = 1) AS first_word, max(pos) FILTER (WHERE base = 1) AS last_word,
  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base = 1))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(share) AS score
@@ -135,6 +136,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN a USING (r)"""
 
 
+#: Every window of 50 bytes by itself.
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, doc_id, unnest(range(0, octet_length(b) - 49)) AS p, b FROM d WHERE doc_id IS NOT NULL),
+v AS (SELECT r, doc_id, p, b[p + 1:p + 50] AS s FROM w),
+m AS (SELECT s, min(doc_id) AS least FROM v GROUP BY s),
+g AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM v JOIN m USING (s) WHERE least < doc_id),
+k AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS k FROM g),
+i AS (SELECT r, min(p) AS lo, max(p) + 50 AS hi FROM k GROUP BY r, k),
+j AS (SELECT r, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY r ORDER BY lo) AS kept FROM i),
+x AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(hex(b[kept + 1:lo]), '' ORDER BY lo) AS h FROM j JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(h, '') || hex(b[coalesce(last, 0) + 1:octet_length(b)]))) AS kept_sha256 FROM d LEFT JOIN x USING (r)"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
@@ -170,4 +185,4 @@ reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, e.b FROM reach JOIN e ON
 m AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.t = d.r GROUP BY 1)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
 
-ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op10_minhash": OP10_SQL, "op1_secret_scan": _op1_sql(), "op8_license_scan": _op8_sql(), "op9_mixing": OP9_SQL}
+ORACLE_SQL = {"op2_embedding_dedup": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op10_minhash": OP10_SQL, "op1_secret_scan": _op1_sql(), "op8_license_scan": _op8_sql(), "op9_mixing": OP9_SQL}
