@@ -5,8 +5,11 @@ All of them are narrow but for the windows, which run within one paper, and the
 
 from __future__ import annotations
 
+import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,36 +62,38 @@ def text_elements(raw: DataFrame, section_mode: str = "grouped", ner: Callable[[
     return kept.select("paper_id", "page_number", "ordinal", F.col("_kind").alias("element_type"), F.col("text").alias("content"), "section", T.word_count(F.col("text")).alias("word_count"), T.entity_map(F.col("text"), ner).alias("entities"))
 
 
-class _Cells(HTMLParser):
-    """A cell ends with its closing tag, and so does a row, which counts if it has cells."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows: list[list[str]] = []
-        self.row: list[str] = []
-        self.cell, self.open = "", False
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
-        self.cell, self.open = ("", True) if tag in ("td", "th") else (self.cell, self.open)
-
-    def handle_endtag(self, tag):
-        if tag in ("td", "th"):
-            self.row.append(self.cell.strip())
-            self.open = False
-        if tag == "tr" and self.row:
-            self.rows.append(self.row)
-
-    def handle_data(self, data):
-        self.cell += data if self.open else ""
+_quoted = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<mark>/?(?:tr|td|th))(?=[\s/>]){_quoted}>|</?[a-z]{_quoted}>", re.I | re.S)
 
 
 def parse_html_table(html: str | None) -> list[list[str]]:
-    p = _Cells()
-    p.feed(html or "")
-    p.close()
-    return p.rows
+    """T1, from the places of the tags of rows and cells.
+
+    A cell's text goes from its opening tag to the next closing one; a closing tag without an opening one of its own repeats
+    the cell before it. A row takes in every cell closed before the next row opens, and counts once for each closing
+    tag that comes after one of them.
+    """
+    html, at = html or "", 0
+    marks, texts = [], [""]
+    for m in _MARKUP.finditer(html):
+        texts[-1] += unescape(html[at : m.start()])
+        at = m.end()
+        if m["mark"]:
+            marks.append(m["mark"].lower())
+            texts.append("")
+    places = lambda *kinds: [i for i, k in enumerate(marks) if k in kinds]
+    opened, closed, ended = places("td", "th"), places("/td", "/th"), places("/tr")
+
+    def cell(end: int) -> str:
+        k = bisect(opened, end) - 1
+        return "".join(texts[opened[k] + 1 : closed[bisect(closed, opened[k])] + 1]).strip() if k >= 0 else ""
+
+    rows = []
+    for lo, hi in pairwise([-1, *places("tr"), len(marks)]):
+        inside = closed[bisect(closed, lo) : bisect(closed, hi - 1)]
+        if inside:
+            rows += [[cell(i) for i in inside]] * (bisect(ended, hi - 1) - bisect(ended, inside[0]))
+    return rows
 
 
 def html_rows(html: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from . import testbed as B
 from .functions import naming as N
@@ -15,12 +16,11 @@ from .plans.catalog import named
 from .sources import sinks, table
 
 TOPIC, AUTHOR, METHOD_BRAND, DATASET, PAPER = "nation_3", "Customer#000000001", "Brand#1", "Supplier#000000003", "1"
-ARRAYS = {"authors", "methods", "datasets", "equations", "tables", "figure_captions", "concepts", "papers"}
 
 
 def _flat(df: DataFrame) -> DataFrame:
     """Lists of text joined, as comparing lists across engines is brittle."""
-    return df.select(*[F.array_join(c, "|").alias(c) if c in ARRAYS else F.col(c) for c in df.columns])
+    return df.select(*[F.array_join(f.name, "|").alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name) for f in df.schema])
 
 
 def _graph_query(name: str, **params):
@@ -303,7 +303,7 @@ QUERIES = {
 
 _tables_cols = "t.headers, t.content, t.page_number AS page"
 ORACLE_SQL = {
-    "papers_by_topic": B.star_sql(f"SELECT {P_COLS}, p.abstract, p.authors_str FROM {TOPIC_JOIN}"),
+    "papers_by_topic": B.star_sql(f"SELECT {P_COLS}, p.abstract, p.authors_str AS authors FROM {TOPIC_JOIN}"),
     "all_topics": B.star_sql("SELECT n.name AS topic, count(p.arxiv_id) AS paper_count FROM n_topic n LEFT JOIN includes i ON n.name = i.src LEFT JOIN n_paper p ON i.dst = p.arxiv_id GROUP BY 1"),
     "paper_by_id": B.star_sql(f"SELECT arxiv_id, title, abstract, published, primary_category, authors_str FROM n_paper WHERE arxiv_id = '{PAPER}'"),
     "papers_by_dataset": B.star_sql(f"SELECT {P_COLS} FROM uses_dataset u JOIN n_paper p ON u.src = p.arxiv_id WHERE u.dst = '{DATASET}'"),

@@ -31,6 +31,8 @@ def test_benchmark_and_text(spark):
 def test_html(spark):
     html = "<table><tr><th>A</th><th> B </th></tr><tr><td>1<b>x</b></td><td></td></tr><tr><td>lost"
     assert X.parse_html_table(html) == [["A", "B"], ["1x", ""]]
+    odd = """<TABLE><!-- <tr><td>no</td></tr> --><tr class="a>b"><td title='x>y'>a&amp;b<br>c</TD><th>d</th></tr><tr></tr><td>e</td><track>f</tr></tr></td>"""
+    assert X.parse_html_table(odd) == [["a&bc", "d"], ["e", "e"], ["e", "e"]]
     df = spark.createDataFrame([(html,), (None,), ("",)], "h string")
     assert [r[0] for r in df.select(X.html_rows(F.col("h"))).collect()] == [[["A", "B"], ["1x", ""]], [], []]
 

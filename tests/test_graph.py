@@ -10,8 +10,8 @@ from quillgraph.operators import extract as X
 from quillgraph.operators import graph as G
 from quillgraph.operators.routing import ask, graph_stats, rich_content
 from quillgraph.plans import pattern
-from quillgraph.plans.catalog import QUERIES, named
-from quillgraph.plans.cypher import parse, query
+from quillgraph.plans.catalog import CATALOG, named
+from quillgraph.plans.cypher import query
 from quillgraph.sources import sinks
 
 
@@ -75,9 +75,17 @@ def test_branches_equal_the_naive_join(spark, sf_dir):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_every_named_query_parses():
-    for text in QUERIES.values():
-        parse(text, topic="t", limit=3, arxiv_id="1", method="m", dataset="d", author="a")
+def test_named_queries_equal_the_language(spark):
+    g = toy(spark)
+    rows = lambda d: [r.asDict() for r in d.collect()]
+    for name, text, params in (
+        ("papers_by_author", "MATCH (a:Author {name: $author})-[:WROTE]->(p:Paper) RETURN p.arxiv_id AS arxiv_id, p.title AS title, p.published AS published ORDER BY p.published DESC", {"author": "Ann"}),
+        ("context_for_topic", "MATCH (t:Topic {name: $topic})-[:INCLUDES]->(p:Paper) OPTIONAL MATCH (p)-[:PROPOSES]->(m:Method) OPTIONAL MATCH (p)-[:USES_DATASET]->(d:Dataset) OPTIONAL MATCH (a:Author)-[:WROTE]->(p) RETURN p.arxiv_id AS arxiv_id, p.title AS title, p.abstract AS abstract, collect(DISTINCT m.name) AS methods, collect(DISTINCT d.name) AS datasets, collect(DISTINCT a.name) AS authors ORDER BY p.published DESC LIMIT $limit", {"topic": "my topic", "limit": 5}),
+        ("all_topics", "MATCH (t:Topic) OPTIONAL MATCH (t)-[:INCLUDES]->(p:Paper) RETURN t.name AS topic, count(p) AS paper_count ORDER BY paper_count DESC", {}),
+        ("relationship_stats", "MATCH ()-[r]->() RETURN type(r) AS relationship, count(r) AS count ORDER BY count DESC", {}),
+    ):
+        assert rows(named(g, name, **params)) == rows(query(g, text, **params)), name
+    assert set(CATALOG) >= {"papers_by_topic", "datasets_for_method", "rich_figures"}
 
 
 @pytest.mark.parametrize("text", ["MATCH (n", "MATCH (a:Paper) RETURN sum(a.x)", "MATCH (a:Paper) RETURN a.x LIMIT $n", "MATCH (a:Nothing) RETURN a.x", "MATCH (a:Paper) RETURN a.x AS x nonsense"])
@@ -100,7 +108,7 @@ def test_optional_count_keeps_zero(spark):
 
 
 def test_limit_comes_before_branches(spark, sf_dir):
-    q = parse(QUERIES["context_for_topic"], topic="nation_3", limit=3)
+    q = CATALOG["context_for_topic"](topic="nation_3", limit=3)
     assert pattern.run(testbed.star_graph(spark, sf_dir), q).count() == 3
 
 
