@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -27,14 +28,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, in local mode only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_made: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Deletes the tables that cut() and store() write inside it, at its end, but for those given to the function it yields."""
+    _made.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        made = _made.pop()
+        keep = {t._quillgraph_path for t in kept}
+        discard(*[t for t in made if t._quillgraph_path not in keep])
+        if _made:
+            _made[-1].extend(t for t in made if t._quillgraph_path in keep)
+
+
+def _note(table: DataFrame, path: str) -> DataFrame:
+    table._quillgraph_path = path
+    if _made:
+        _made[-1].append(table)
+    return table
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows as Parquet to the shared folder and returns them read again.
 
@@ -46,9 +74,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quillgraph_path = path
-    return out
+    return _note(spark.read.schema(df.schema).parquet(path), path)
 
 
 def store(df: DataFrame, key: str, total: int) -> DataFrame:
@@ -58,8 +84,8 @@ def store(df: DataFrame, key: str, total: int) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     df.repartition(parts, key).write.format("parquet").option("compression", "zstd").bucketBy(parts, key).option("path", path).saveAsTable(name)
     spark.sparkContext._jvm.System.gc()
-    out = spark.table(name)
-    out._quillgraph_path, out._quillgraph_parts = path, parts
+    out = _note(spark.table(name), path)
+    out._quillgraph_parts = parts
     return out
 
 
@@ -67,6 +93,8 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that cut() wrote, once everything made from them is written itself."""
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._quillgraph_path)
+        if hasattr(t, "_quillgraph_parts"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {path.getName()}")
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -19,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back
+from .common import cut, give_back, scratch
 from .components import connected_components, lower_labels
 
 BANDS, BAND_ROWS = 32, 5
@@ -139,64 +139,81 @@ def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
     return cut(label.join(moved, F.col("component") == F.col("_old"), "left").select("key", F.coalesce("_new", "component").alias("component")))
 
 
-def tile_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, chunk: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def tile_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Components (as positions in `component`) that confirmed links join, as a forest.
 
-    All pairs of the tile are compared but those of one component, of the main component's members, or, if
-    there are two chunks, within a chunk. Common shingles are counted by products of 0/1 matrices.
+    side: 0 or 1; rows of side 1 are compared with those of side 0, if there are any, else with each other, and never within a
+    component. Common shingles are counted by products of 0/1 matrices.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
+    first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+    if not len(second):
+        second = first
     flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
     shared = held[column] > 1
     of, column = of[shared], column[shared]
     wide, column = np.unique(column, return_inverse=True)
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(first), len(second)), np.float32)
     for lo in range(0, len(wide), _COLUMNS):
         mine = (column >= lo) & (column < lo + _COLUMNS)
         block = np.zeros((len(sets), min(_COLUMNS, len(wide) - lo)), np.float32)
         block[of[mine], column[mine] - lo] = 1
-        common += block @ block.T
+        common += block[first] @ block[second].T
     _, name = np.unique(component, return_inverse=True)
-    linked = common * 100 >= (sizes[:, None] + sizes[None] - common) * percent
-    linked &= (name[:, None] != name[None]) & (side[:, None] | side[None])
-    if (chunk != chunk[0]).any():
-        linked &= chunk[:, None] != chunk[None]
-    a, b = np.nonzero(np.triu(linked))
+    linked = common * 100 >= (sizes[first][:, None] + sizes[second][None] - common) * percent
+    linked &= name[first][:, None] != name[second][None]
+    a, b = np.nonzero(linked)
     label = np.arange(name.max() + 1)
-    lower_labels(label, name[a], name[b])
-    first = np.full(len(label), -1)
-    first[name[::-1]] = np.arange(len(name))[::-1]
-    return [(int(first[c]), int(first[label[c]])) for c in range(len(label)) if label[c] != c]
+    lower_labels(label, name[first[a]], name[second[b]])
+    at = np.full(len(label), -1)
+    at[name[::-1]] = np.arange(len(name))[::-1]
+    return [(int(at[c]), int(at[label[c]])) for c in range(len(label)) if label[c] != c]
 
 
-def _compare_tiles(placed: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def tiles_of(rows: DataFrame) -> DataFrame:
+    """(main, kind, lo, hi, key, component, side) of rows (main, key, component, n, beside).
+
+    Rows beside a main component are dealt into chunks of bounded rows and shingles, and so are the main component's. A tile is
+    a chunk beside with one of the main component's (kind 0) or with one beside, itself included (kind 1): members of the
+    main component are never compared with each other.
+    """
+    size = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    counts = rows.groupBy("main", "beside").agg(size.alias("chunks"))
+    counts = counts.groupBy("main").agg(F.max(F.when(F.col("beside"), F.col("chunks"))).alias("right"), F.max(F.when(~F.col("beside"), F.col("chunks"))).alias("left"))
+    rows = rows.join(counts, "main").withColumn("mine", F.pmod(F.xxhash64("key"), F.when(F.col("beside"), F.col("right")).otherwise(F.col("left"))).cast("int"))
+    tile = lambda kind, lo, hi, side: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.col("mine")
+    with_main = F.transform(upto("left"), lambda o: tile(0, mine, o, 1))
+    with_beside = F.transform(upto("right"), lambda o: F.struct(F.lit(1).alias("kind"), F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), (mine >= o).cast("int").alias("side")))
+    # of two chunks beside, the greater has side 1 and the other side 0; a chunk by itself has side 1
+    tiles = F.when(F.col("beside"), F.concat(with_main, with_beside)).otherwise(F.transform(upto("right"), lambda o: tile(0, o, mine, 0)))
+    return rows.withColumn("t", F.explode(tiles)).select("main", "t.kind", "t.lo", "t.hi", "key", "component", "t.side")
+
+
+def _compare_tiles(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (ca, cb) between components that share one of the buckets of (bucket, key, n, component).
 
-    Around the largest component of each bucket a group is made, of its members and those of the
-    components beside it. A group is dealt into chunks of bounded rows and shingles, and chunks are compared two by two,
-    each as one task, which returns a forest of components. So no pair is ever a row.
+    Around the largest component of each bucket, by its rows in buckets, a group is made of the rows of it and of the components
+    beside it that stand in open buckets; each tile is one task, which returns a forest of components. So no pair is ever a row.
     """
-    sizes = label.groupBy("component").agg(F.count("*").alias("size"))
+    people = cut(placed.select("key", "component", "n").distinct())
+    sizes = people.groupBy("component").agg(F.count("*").alias("size"))
     held = placed.select("bucket", "component").distinct().join(sizes, "component")
     main = held.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    beside = held.select("bucket", "component").join(main, "bucket").where("component <> main").select("main", "component").distinct()
-    people = label.join(sets.select("key", F.size("set").alias("n")), "key")
-    right = beside.join(people, "component").select("main", "key", "component", "n", F.lit(True).alias("side"))
-    left = beside.select(F.col("main").alias("component")).distinct().join(people, "component").select(F.col("component").alias("main"), "key", "component", "n", F.lit(False).alias("side"))
-    rows = cut(left.unionByName(right))
-    chunks = rows.groupBy("main").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("chunks"))
-    rows = rows.join(chunks, "main").withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least(o, "mine").alias("lo"), F.greatest(o, "mine").alias("hi")))
-    dealt = rows.withColumn("t", F.explode(tiles)).select("main", "t.lo", "t.hi", "key", "component", "side", (F.col("mine") != F.col("t.lo")).cast("int").alias("chunk"))
+    beside = cut(held.select("bucket", "component").join(main, "bucket").where("component <> main").select("main", "component").distinct())
+    right = beside.join(people, "component").select("main", "key", "component", "n", F.lit(True).alias("beside"))
+    left = beside.select(F.col("main").alias("component")).distinct().join(people, "component").select(F.col("component").alias("main"), "key", "component", "n", F.lit(False).alias("beside"))
+    dealt = tiles_of(cut(left.unionByName(right)))
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         names = tile["component"].to_numpy()
-        found = tile_links([np.asarray(s) for s in tile["set"]], names, tile["side"].to_numpy(bool), tile["chunk"].to_numpy(), percent)
+        found = tile_links([np.asarray(s) for s in tile["set"]], names, tile["side"].to_numpy(), percent)
         give_back()
         return pd.DataFrame({"ca": [names[i] for i, _ in found], "cb": [names[j] for _, j in found]})
 
-    return dealt.join(sets, "key").groupBy("main", "lo", "hi").applyInPandas(compare, "ca binary, cb binary")
+    return dealt.join(sets, "key").groupBy("main", "kind", "lo", "hi").applyInPandas(compare, "ca binary, cb binary")
 
 
 def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +234,7 @@ def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"), F.col("x.component").alias("ca"), F.col("y.component").alias("cb")).dropDuplicates(["a", "b"])
             links = _confirm(pairs, sets, percent).select("ca", "cb").distinct()
         else:
-            links = _compare_tiles(placed, label, sets, percent)
+            links = _compare_tiles(placed, sets, percent)
         links = cut(links)
         if not links.isEmpty():
             label = _merge(label, links)
@@ -232,20 +249,23 @@ def _components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of the input."""
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = cut(given.select("doc_id", _sketch(F.col("text"), k, bands, rows).alias("s")).select("doc_id", "s.*"))
-    told = seen.where("doc_id IS NOT NULL AND n > 0")
-    classes = told.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = told.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).dropDuplicates(["key"]).select("key", F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("bucket"))
-    shared = F.count("*").over(Window.partitionBy("bucket"))
-    members = cut(reps.withColumn("_members", shared).where("_members > 1").drop("_members"))
-    wanted = members.select(F.col("key").alias("_key"), F.col("rep").alias("doc_id")).distinct()
-    full = given.join(wanted, "doc_id").select("_key", _full_set(F.col("text"), k).alias("s")).where("s.key = _key").select("s.*")
-    sets = cut(full.dropDuplicates(["key"]))
-    label = _components(members.select("bucket", "key", "n"), sets, percent)
-    ids = classes.join(label, "key")
-    least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_key = ids.join(least, "component").select("key", "component_id")
+    with scratch() as keep:
+        given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        seen = cut(given.select("doc_id", _sketch(F.col("text"), k, bands, rows).alias("s")).select("doc_id", "s.*"))
+        told = seen.where("doc_id IS NOT NULL AND n > 0")
+        classes = told.groupBy("key").agg(F.min("doc_id").alias("rep"))
+        reps = cut(told.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"]).dropDuplicates(["key"]).select("key", F.col("doc_id").alias("rep"), "n", "bands"))
+        reps = reps.select("key", "rep", "n", F.explode("bands").alias("bucket"))
+        shared = reps.groupBy("bucket").agg(F.count("*").alias("_members")).where("_members > 1").select("bucket")
+        members = cut(reps.join(shared, "bucket", "left_semi"))
+        wanted = members.select(F.col("key").alias("_key"), F.col("rep").alias("doc_id")).distinct()
+        full = given.join(wanted, "doc_id").select("_key", _full_set(F.col("text"), k).alias("s")).where("s.key = _key").select("s.*")
+        sets = cut(full.dropDuplicates(["key"]))
+        label = _components(members.select("bucket", "key", "n"), sets, percent)
+        ids = classes.join(label, "key")
+        least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
+        of_key = cut(ids.join(least, "component").select("key", "component_id"))
+        keep(seen, of_key)
     out = seen.select("doc_id", "key", "n").join(classes, "key", "left").join(of_key, "key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "rep")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, packed, store, unpacked
+from .common import cut, discard, give_back, packed, scratch, store, unpacked
 from .suffix_array import ranges, suffix_arrays
 
 #: Bytes of the strings whose least hash is a window's key, then of those that split crowded keys; windows themselves come last.
@@ -174,6 +174,7 @@ def _stretches(length: int):
             if out:
                 key, n, row, doc, first = map(np.concatenate, zip(*out, strict=True))
                 yield pd.DataFrame({"key": key, "name": names, "n": n, "row": row, "doc_id": doc, "first": first})
+                give_back()
 
     return make
 
@@ -209,6 +210,7 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(out)
                 out = {c: [] for c in out}
         yield pd.DataFrame(out)
+        give_back()
 
 
 def _hashes(texts: list[bytes], sizes: np.ndarray, length: int) -> np.ndarray:
@@ -277,6 +279,7 @@ def _sorted_bucket(length: int):
         kept = flat[first] < rows["most"].to_numpy(np.int64)[of[first]]
         first, end = first[kept], end[kept]
         text = of[first]
+        give_back()
         return pd.DataFrame({"name": rows["name"].to_numpy()[text], "a": first - begin[text], "b": end - begin[text], "least": flat[first]})
 
     return make
@@ -300,6 +303,7 @@ def _carve(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
                 at = end = hi
         kept.append(data[at:])
         out.append((removed, n, b"".join(kept)))
+    give_back()
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_bytes"])
 
 
@@ -359,14 +363,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
     made = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     columns = [c for c in (columns or docs.columns) if c not in made]
     id_, n = docs[doc_id].cast("long"), F.octet_length(docs[text])
-    total = docs.agg(F.sum(n.cast("long"))).first()[0] or 0
-    digest = F.when(id_.isNotNull() & (n >= length), F.unhex(F.substring(F.sha2(docs[text].cast("binary"), 256), 1, 32)))
-    rows = store(docs.select(packed(docs, columns), id_.alias("doc_id"), docs[text].alias("text"), n.alias("n"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")), "row", total)
-    named = rows.where("digest IS NOT NULL").select("row", "doc_id", "n", "digest")
-    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("stands"))
-    roles = cut(named.join(firsts, "digest").select("row", "n", "stands", (F.col("doc_id") > F.col("least")).alias("copy")))
-    texts = rows.select("row", "doc_id", "text")
-    spans = repeated_spans(texts, roles.where("row = stands"), rows._quillgraph_parts, total, length)
+    with scratch() as keep:
+        total = docs.agg(F.sum(n.cast("long"))).first()[0] or 0
+        digest = F.when(id_.isNotNull() & (n >= length), F.unhex(F.substring(F.sha2(docs[text].cast("binary"), 256), 1, 32)))
+        rows = store(docs.select(packed(docs, columns), id_.alias("doc_id"), docs[text].alias("text"), n.alias("n"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")), "row", total)
+        named = rows.where("digest IS NOT NULL").select("row", "doc_id", "n", "digest")
+        firsts = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by("row", "doc_id").alias("stands"))
+        roles = cut(named.join(firsts, "digest").select("row", "n", "stands", (F.col("doc_id") > F.col("least")).alias("copy")))
+        texts = rows.select("row", "doc_id", "text")
+        spans = repeated_spans(texts, roles.where("row = stands"), rows._quillgraph_parts, total, length)
+        keep(rows, roles, spans)
     copies = roles.where("copy").select("row", F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))).alias("spans"))
     again = roles.where("NOT copy AND row <> stands").select("row", "stands")  # rows that repeat with id and text
     again = again.join(spans.withColumnRenamed("row", "stands"), "stands").select("row", "spans")

@@ -22,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import cut, packed, unpacked
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def find_secrets(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: str
     """
     columns = [c for c in (columns or docs.columns) if c != found]
     keyed = docs.select(packed(docs, columns), F.coalesce(docs[text], F.lit("")).alias("_text"), F.xxhash64(docs[doc_id].cast("string"), docs[text]).alias("_key"))
-    selected = candidates(keyed, rules)
+    selected = cut(candidates(keyed, rules))  # a key and a number for each candidate: once written, its size tells whether texts must be shuffled to it
     both = keyed.join(selected, "_key", "left")
     spans, none = [], F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     for i, rule in enumerate(rules):

@@ -65,6 +65,16 @@ def test_tiles_leave_no_pair_out(spark, monkeypatch, rounds, tile):
     assert got(spark.createDataFrame(rows, "doc_id long, text string"), k=4) == brute(rows, 4, 80)
 
 
+def test_members_of_the_main_component_meet_only_those_beside(spark, monkeypatch):
+    """1,000 connected rows with 3 beside them: each row goes to as many tiles as there are chunks on the other side, not to the square."""
+    monkeypatch.setattr(M, "TILE_ROWS", 50)
+    rows = [(b"m", b"%d" % i, b"m", 5, False) for i in range(1000)] + [(b"m", b"b%d" % i, b"b%d" % i, 5, True) for i in range(3)]
+    dealt = M.tiles_of(spark.createDataFrame(rows, "main binary, key binary, component binary, n long, beside boolean"))
+    of = {k: n for k, n in ((bytes(r["key"]), r["count"]) for r in dealt.groupBy("key").count().collect())}
+    assert all(of[b"%d" % i] == 1 for i in range(1000)) and all(of[b"b%d" % i] == 21 for i in range(3))
+    assert dealt.select("kind", "lo", "hi").distinct().count() == 21
+
+
 def test_driver_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

@@ -91,7 +91,7 @@ def test_held_out_accuracy(chain_and_held_out):
     chain, names, held = chain_and_held_out
     got = T.score_toxicity(held, chain, names).collect()
     assert sum(bool(r["toxic"]) == r["rejected"] for r in got) / len(got) > 0.97
-    assert names == ["insult", "contempt", "toxic"]
+    assert names == ["kind_1", "kind_2", "toxic"]
 
 
 def test_later_models_get_earlier_probabilities(chain_and_held_out):
@@ -100,6 +100,86 @@ def test_later_models_get_earlier_probabilities(chain_and_held_out):
     assert chain.models[2].dense.any()
 
 
+def dense_logistic(x, y, l2=5e-5):
+    """Newton's method on the same loss, densely."""
+    if not 0 < y.mean() < 1:
+        share = y.mean()
+        return np.append(np.zeros(x.shape[1]), np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
+    x1, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    ridge = np.append(np.full(x.shape[1], l2), 0)
+    loss = lambda w: (np.logaddexp(0, x1 @ w) - y * (x1 @ w)).mean() + (ridge * w * w).sum() / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x1 @ w)))
+        g = x1.T @ (p - y) / len(y) + ridge * w
+        if np.abs(g).max() < 1e-9:
+            break
+        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 / len(y) + np.diag(ridge + 1e-12), g)
+        t = 1.0
+        while loss(w - t * step) > loss(w) and t > 1e-8:
+            t /= 2
+        w = w - t * step
+    return w
+
+
+def plain_chain(x, labels, new, least_docs=3, least_chi2=12.0, folds=3):
+    """Probabilities of each category for `new`, all written out over dense 0/1 features."""
+
+    def model(x, extra, y):
+        texts, share = x.sum(0), y.mean()
+        expected = texts * share
+        chi2 = (x.T @ y - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - texts / (len(y) + 1)), 1e-9)
+        use = (texts >= least_docs) & (chi2 >= least_chi2)
+        w = dense_logistic(np.column_stack([x[:, use], extra]), y)
+        return lambda x, extra: 1 / (1 + np.exp(-(np.column_stack([x[:, use], extra, np.ones(len(x))]) @ w)))
+
+    fold, oof, out = np.arange(len(x)) % folds, np.zeros((len(x), 0)), np.zeros((len(new), 0))
+    for c in range(labels.shape[1]):
+        made = np.zeros(len(x))
+        for f in range(folds):
+            made[fold == f] = model(x[fold != f], oof[fold != f], labels[fold != f, c])(x[fold == f], oof[fold == f])
+        out = np.column_stack([out, model(x, oof, labels[:, c])(new, out)])
+        oof = np.column_stack([oof, made])
+    return out
+
+
+def test_chain_equals_a_plain_one():
+    rng = np.random.default_rng(6)
+    x = rng.random((240, 40)) < 0.3
+    noise = rng.random(240) < 0.08
+    a, b = (x[:, 0] & x[:, 1]) ^ noise, x[:, 2] & ~x[:, 0]
+    labels = np.column_stack([a, b, (a | b) ^ (rng.random(240) < 0.05)]).astype(float)
+    rows = [np.flatnonzero(r) for r in x]
+    got = T.Chain(rows[:180], labels[:180]).score(rows[180:])
+    want = plain_chain(x[:180].astype(float), labels[:180], x[180:].astype(float))
+    assert np.abs(got - want).max() < 2e-3
+
+
+def test_kinds_are_found():
+    rnd = random.Random(8)
+    rows, toxic, kind = [], [], []
+    for i in range(600):
+        k = rnd.choice([0, 0, 0, 0, 1, 1, 2])  # 0: not toxic
+        rows.append(np.unique([rnd.randint(100, 300) for _ in range(10)] + {0: [], 1: rnd.sample(range(5), 3), 2: rnd.sample(range(10, 15), 3)}[k]))
+        toxic.append(float(k > 0))
+        kind.append(k)
+    got = T.kinds_of(rows, np.array(toxic), 2)
+    assert [(int(a), int(b)) for a, b in got] == [(int(k == 1), int(k == 2)) for k in kind]
+    assert T.kinds_of(rows, np.zeros(600), 2).sum() == 0
+
+
+def test_given_categories_come_first(spark):
+    df = spark.createDataFrame([(i, t, y, int("idiot" in t)) for i, t, y in labelled(300, 9)], "doc_id long, text string, toxic int, rude int")
+    chain, names = T.fit_chain(df.select("doc_id", "text"), df.select("doc_id", "toxic", "rude"), also=("rude",))
+    assert names == ["rude", "toxic"] and [len(m.dense) for m in chain.models] == [0, 1]
+
+
+def test_columns_named_like_added_ones_are_replaced(spark, chain_and_held_out):
+    chain, names, _ = chain_and_held_out
+    df = spark.createDataFrame([(1, "idiot scum moron", "x", 7)], "doc_id long, text string, p_toxic string, rejected int")
+    got = T.score_toxicity(df, chain, names)
+    assert got.columns == ["doc_id", "text", "p_kind_1", "p_kind_2", "p_toxic", "rejected"] and got.first()["p_toxic"] > 0.5
+
+
 def test_fit_is_bounded_and_repeats(spark):
     df = spark.createDataFrame(labelled(400, 2), "doc_id long, text string, toxic int")
     fit = lambda: T.fit_chain(df, df.select("doc_id", "toxic"), sample_rows=100)[0].models[-1]
