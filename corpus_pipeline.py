@@ -5,16 +5,16 @@ as the next stage's docs. All but the last return the columns of documents; ever
 everything its predecessor kept.
 
 1. toxicity: documents that the classifier chain rejects go.
-2. near_duplicates: one document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays, the one of least id.
+2. near_duplicates: one row of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays, the one of least id.
 3. secrets: secrets in texts are replaced by their kind in brackets; n_chars follows.
 4. mixing: documents are repeated or left out until sources have their target weights.
 5. encode: texts are encoded with a public byte-level vocabulary and decoded again.
 
-Defined results: null texts pass through the first four stages (no words, no secrets, size 0) and
-encode to no ids; a null text stays null until the last stage. Rows with a null id are never near-duplicates. Repeated rows
-are near-duplicates of themselves: as they share the id that stays, they all stay, and differ only where
-mixing repeats them. Empty tables pass through. Additional columns of documents pass through the first
-four stages.
+Defined results: null texts and texts without words pass through the first four stages (no words, no secrets, size 0;
+texts without words of a source are repeated or left out with it) and a null text encodes to no ids, 0 tokens and the digest of
+an empty text. The near-duplicate stage goes by rows: of rows that repeat with id and text one stays, and rows with a null id
+are compared too, after all others in order. Empty tables pass through. Additional columns of documents pass through the first
+four stages. Each stage's intermediate tables are deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, minhash, mixing, secret_scan, toxicity
-from quillgraph.llm.common import cut, for_python, table
+from quillgraph.llm.common import cut, discard, for_python, packed, scratch, table, unpacked
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -38,9 +38,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for_python(spark)
-    found = minhash.near_duplicates(docs)
-    gone = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).where("NOT _kept")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows = cut(docs.select(packed(docs, docs.columns), F.monotonically_increasing_id().alias("_row")))
+    found = minhash.near_duplicates(rows.select("_row", F.col("_in")["text"].alias("text")), doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    found = cut(found.join(rows.select("_row", F.col("_in")["doc_id"].alias("_id")), "_row"))
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"].alias("_row"))
+    gone = cut(found.join(stays, "_row", "left_anti").select("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*unpacked(docs.columns))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,9 +80,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs)
+        if name == STAGES[-1][0]:
+            return stage(spark, docs, sf_dir)
+        with scratch() as keep:
+            docs = cut(stage(spark, docs, sf_dir))
+            keep(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
