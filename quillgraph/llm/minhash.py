@@ -139,16 +139,13 @@ def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
     return cut(label.join(moved, F.col("component") == F.col("_old"), "left").select("key", F.coalesce("_new", "component").alias("component")))
 
 
-def tile_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def tile_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, within: bool, percent: int) -> list[tuple[int, int]]:
     """Components (as positions in `component`) that confirmed links join, as a forest.
 
-    side: 0 or 1; rows of side 1 are compared with those of side 0, if there are any, else with each other, and never within a
-    component. Common shingles are counted by products of 0/1 matrices.
+    side: 0 or 1; rows of side 1 are compared with those of side 0, within: with each other too, but not within a component. Common shingles are counted by products of 0/1 matrices.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    first, second = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-    if not len(second):
-        second = first
+    first, second = np.flatnonzero(side == 1), np.arange(len(sets)) if within else np.flatnonzero(side == 0)
     flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
     shared = held[column] > 1
@@ -175,8 +172,8 @@ def tiles_of(rows: DataFrame) -> DataFrame:
     """(main, kind, lo, hi, key, component, side) of rows (main, key, component, n, beside).
 
     Rows beside a main component are dealt into chunks of bounded rows and shingles, and so are the main component's. A tile is
-    a chunk beside with one of the main component's (kind 0) or with one beside, itself included (kind 1): members of the
-    main component are never compared with each other.
+    a chunk beside with one of the main component's (kind 0, and with itself where that one is the first) or with another
+    beside (kind 1): members of the main component are never compared with each other.
     """
     size = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
     counts = rows.groupBy("main", "beside").agg(size.alias("chunks"))
@@ -186,8 +183,8 @@ def tiles_of(rows: DataFrame) -> DataFrame:
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = F.col("mine")
     with_main = F.transform(upto("left"), lambda o: tile(0, mine, o, 1))
-    with_beside = F.transform(upto("right"), lambda o: F.struct(F.lit(1).alias("kind"), F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), (mine >= o).cast("int").alias("side")))
-    # of two chunks beside, the greater has side 1 and the other side 0; a chunk by itself has side 1
+    others = F.filter(upto("right"), lambda o: o != mine)
+    with_beside = F.transform(others, lambda o: F.struct(F.lit(1).alias("kind"), F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), (mine > o).cast("int").alias("side")))
     tiles = F.when(F.col("beside"), F.concat(with_main, with_beside)).otherwise(F.transform(upto("right"), lambda o: tile(0, o, mine, 0)))
     return rows.withColumn("t", F.explode(tiles)).select("main", "t.kind", "t.lo", "t.hi", "key", "component", "t.side")
 
@@ -209,7 +206,7 @@ def _compare_tiles(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         names = tile["component"].to_numpy()
-        found = tile_links([np.asarray(s) for s in tile["set"]], names, tile["side"].to_numpy(), percent)
+        found = tile_links([np.asarray(s) for s in tile["set"]], names, tile["side"].to_numpy(), bool(tile["kind"].iloc[0] == 0 and tile["hi"].iloc[0] == 0), percent)
         give_back()
         return pd.DataFrame({"ca": [names[i] for i, _ in found], "cb": [names[j] for _, j in found]})
 
