@@ -25,6 +25,9 @@ SECTIONS = (
     ("references", r"\breferences?\b"),
 )
 
+#: What a line must hold for any of the patterns to be found in it; lines without are settled by one search.
+SECTION_STEMS = ("abstract", "introduction", "related", "method", "approach", "proposed", "experiment", "result", "findings", "evaluation", "discussion", "conclusion", "reference")
+
 # Names of data sets; the first alternative that fits counts.
 DATASETS = (
     "ImageNet", r"ImageNet[-\s]?1[Kk]", r"ImageNet[-\s]?21[Kk]", "COCO", r"MS[-\s]?COCO", r"Pascal\s*VOC", r"VOC\s*20\d{2}",
@@ -104,8 +107,8 @@ def raw_type_kind(raw_type: Column) -> Column:
 
 def section_of(text: Column) -> Column:
     """the first section whose pattern is found, else body."""
-    chain = reduce(lambda c, s: c.when(text.rlike(java(s[1])), s[0]), SECTIONS[1:], F.when(text.rlike(java(SECTIONS[0][1])), SECTIONS[0][0]))
-    return chain.otherwise("body")
+    some = text.rlike(java("|".join(SECTION_STEMS)))
+    return reduce(lambda c, s: c.when(text.rlike(java(s[1])), s[0]), SECTIONS, F.when(~some, "body")).otherwise("body")
 
 
 def line_type(line: Column) -> Column:

@@ -209,6 +209,17 @@ def element_stats(elements: DataFrame) -> DataFrame:
     return elements.where(F.length(T.py_strip(F.col("content"))) > 0).groupBy("paper_id", "element_type").agg(F.count("*").alias("n"))
 
 
+def element_summary(elements: DataFrame) -> DataFrame:
+    """One line of counts for each paper, such as 'table: 2, text: 5'."""
+    said = F.concat(F.col("element_type"), F.lit(": "), F.col("n").cast("string"))
+    return element_stats(elements).groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_list(said)), ", ").alias("summary"))  # a text for each kind
+
+
+def raw_type_counts(raw: DataFrame) -> DataFrame:
+    """Raw types, the most common first."""
+    return raw.groupBy("raw_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "raw_type")
+
+
 def route_inputs(papers: DataFrame) -> DataFrame:
     """id and path of each paper that can be extracted."""
     filled = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs if c in papers.columns])

@@ -48,10 +48,13 @@ def _kind(spark, question: str, of: Callable[[Column], Column]) -> str:
     return spark.range(1).select(of(F.lit(question)).alias("k")).first()["k"]
 
 
-def retrieve(graph: Graph, question: str, limit: int = 10) -> DataFrame:
-    """Benchmark tables for a question about tables if there are any, else the context of the latest papers."""
+def retrieve(graph: Graph, question: str, limit: int = 10, most_tables: int = 1_000) -> DataFrame:
+    """Benchmark tables for a question about tables if there are any, else the context of the latest papers.
+
+    most_tables: how many tables a context takes, those of the latest papers first, as a context is one text on the driver.
+    """
     if _kind(graph.spark, question, query_type) == "table":
-        tables = named(graph, "benchmark_tables")
+        tables = named(graph, "benchmark_tables", limit=most_tables)
         if not tables.isEmpty():
             return tables
     return named(graph, "context_all_papers", limit=limit)
@@ -76,6 +79,7 @@ def context_lines(rows: DataFrame, order: list[Column]) -> DataFrame:
     def listed(before: str, c: str, sep: str, items: Callable[[Column], Column] = lambda a: a) -> Column:
         return F.when(F.size(full(c)) > 0, F.concat(F.lit(before), F.array_join(items(full(c)), sep)))
 
+    # The labels of a context's lines.
     rule = "=" * 50
     rank = F.row_number().over(Window.orderBy(*order))
     ranked = rows.withColumn("rank", rank)
@@ -125,6 +129,13 @@ def reparse_table(content: Column, headers: Column, keep_empty: bool = False) ->
     return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
 
 
+def first_seen_groups(rows: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
+    """(place, key, values) with groups and their values in the order in which they are first seen. For the few rows of a result page."""
+    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    groups = numbered.groupBy(key).agg(F.min("_n").alias("_first"), F.sort_array(F.collect_list(F.struct("_n", value))).alias("_rows"))
+    return groups.select(F.row_number().over(Window.orderBy("_first")).alias("place"), key, F.transform("_rows", lambda r: r[value]).alias("values"))
+
+
 def answer_parts(answer: Column) -> Column:
     """The parts of an answer as struct(latex, text): bracketed stretches that hold formulas, and what is between them."""
     piece = r"\\\[[\s\S]*?\\\]|\[[^\[\]]{8,}?\]|(?:(?!\\\[[\s\S]*?\\\]|\[[^\[\]]{8,}?\])[\s\S])+"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from . import testbed as B
+from . import workflows as W
 from .functions import naming as N
 from .functions import text as T
 from .operators import extract as X
@@ -82,8 +83,19 @@ KEEPS_SQL = r"(length(line) >= 15 AND NOT regexp_matches(line, '^\[\d+\]') AND N
 SECTION_SQL = "CASE " + " ".join(f"WHEN regexp_matches(line, {_sql_re('(?i)' + p)}) THEN '{s}'" for s, p in T.SECTIONS) + " ELSE 'body' END"
 
 
+def _mention_list_sql(names: tuple[str, ...], longer: int) -> str:
+    return f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(line, {_sql_re('(?i)' + T.mention_pattern(names))}), lambda x: trim(x, ' \t\n')), lambda x: length(x) > {longer})))"
+
+
 def _mentions_sql(names: tuple[str, ...], longer: int) -> str:
-    return f"array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(line, {_sql_re('(?i)' + T.mention_pattern(names))}), lambda x: trim(x, ' \t\n')), lambda x: length(x) > {longer}))), '|')"
+    return f"array_to_string({_mention_list_sql(names, longer)}, '|')"
+
+
+def _entities_sql() -> str:
+    """The map of entities as JSON, without empty categories."""
+    lists = {"datasets": _mention_list_sql(T.DATASETS, 2), "methods": _mention_list_sql(T.METHODS, 2), "metrics": _mention_list_sql(T.METRICS, 1)}
+    parts = ", ".join(f"""CASE WHEN len({v}) > 0 THEN '"{k}":["' || array_to_string({v}, '","') || '"]' END""" for k, v in lists.items())
+    return f"'{{' || concat_ws(',', {parts}) || '}}'"
 
 
 def _mention_query(names, longer):
@@ -221,7 +233,14 @@ def _reparse(s, d):
 
 
 def _html_pages(s, d):
-    pages = table(s, d, "pages").select(F.concat(F.lit("<table><tr><th>Page</th><th>Size</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td> "), F.length("html").cast("string"), F.lit(" </td></tr></table>")).alias("html"))
+    """A table for each page, of three shapes: with a header, with numbers first, and with tags, references and an empty row in between."""
+    key, size = F.col("page_id").cast("string"), F.length("html").cast("string")
+    made = [
+        F.concat(F.lit("<table><tr><th>Page</th><th>Size</th></tr><tr><td>"), key, F.lit("</td><td> "), size, F.lit(" </td></tr></table>")),
+        F.concat(F.lit("<table><tr><td>7.5</td><td>"), key, F.lit("</td></tr><tr><td>x</td><td>"), size, F.lit("</td></tr></table>")),
+        F.concat(F.lit("<TABLE class='a>b'><!-- <tr><td>no</td></tr> --><TR><TH>Page <b>and</b> url</TH></TR><tr></tr><tr><td>"), key, F.lit("&amp;<i>"), size, F.lit("</i></td><td></td></tr><tr><td>lost")),
+    ]
+    pages = table(s, d, "pages").select(F.element_at(F.array(*made), (F.col("page_id") % 3 + 1).cast("int")).alias("html"))
     rows = pages.select(X.split_header(X.html_rows(F.col("html"))).alias("t"))
     return rows.select(F.array_join("t.headers", "|").alias("headers"), F.array_join(F.flatten("t.rows"), "|").alias("cells"))
 
@@ -238,6 +257,20 @@ def _equations(s, d):
     return B.generated_lines(s, d).where("kind IN (4, 7)").select(e.alias("e")).groupBy("e.latex", "e.source").agg(F.count("*").alias("n"))
 
 
+def _headers(s, d):
+    """Tables of three shapes: with a header, with a number in the first row, and with the header alone."""
+    k = F.col("ordinal") % 3
+    t = B.generated_tables(s, d).select(F.when(k == 0, F.concat(F.array("headers"), "rows")).when(k == 1, F.concat("rows", F.array("headers"))).otherwise(F.array("headers")).alias("all"))
+    said = lambda c: F.array_join(F.transform(c, lambda r: F.array_join(r, "|")), "/")
+    both = t.select(X.split_header(F.col("all")).alias("a"), X.split_header(F.col("all"), 50, more_rows=False).alias("b"))
+    return both.select(F.array_join("a.headers", "|").alias("headers"), said(F.col("a.rows")).alias("rest"), F.array_join("b.headers", "|").alias("headers_of_text"), said(F.col("b.rows")).alias("rest_of_text")).groupBy("headers", "rest", "headers_of_text", "rest_of_text").agg(F.count("*").alias("n"))
+
+
+def _graph_totals(s, d):
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|").alias(c)
+    return R.graph_stats(B.star_graph(s, d)).select("all_label", "all_type", listed("by_label"), listed("by_type"))
+
+
 QUERIES = {
     "papers_by_topic": _graph_query("papers_by_topic", topic=TOPIC),
     "all_topics": _graph_query("all_topics"),
@@ -262,7 +295,7 @@ QUERIES = {
     "rich_figures": _graph_query("rich_figures"),
     "rich_tables": _graph_query("rich_tables"),
     "rich_equations": _graph_query("rich_equations"),
-    "graph_totals": lambda s, d: R.graph_stats(B.star_graph(s, d)).select("all_label", "all_type"),
+    "graph_totals": _graph_totals,
     "connectivity": lambda s, d: s.range(1).select(F.lit(1).alias("ok")),
     "classify_lines": _classified,
     "filter_text_lines": lambda s, d: B.generated_lines(s, d).where(T.keeps_text(F.col("line"))).groupBy("kind").agg(F.count("*").alias("n")),
@@ -279,7 +312,7 @@ QUERIES = {
     "type_breakdown": lambda s, d: B.generated_lines(s, d).groupBy(T.raw_type_kind(T.line_type(F.col("line"))).alias("kind")).agg(F.count("*").alias("n")),
     "benchmark_table_test": _tables,
     "table_to_text": lambda s, d: B.generated_tables(s, d).select(X.table_text(F.col("headers"), F.col("rows")).alias("content")).groupBy("content").agg(F.count("*").alias("n")),
-    "header_split": lambda s, d: B.generated_tables(s, d).select(X.split_header(F.concat(F.array("headers"), "rows")).alias("t")).select(F.array_join("t.headers", "|").alias("headers"), F.size("t.rows").alias("n_rows")).groupBy("headers", "n_rows").agg(F.count("*").alias("n")),
+    "header_split": _headers,
     "table_source_precedence": _table_source,
     "html_table_parse": _html_pages,
     "page_tables": _page_tables,
@@ -310,14 +343,14 @@ ORACLE_SQL = {
     "papers_by_method": B.star_sql(f"SELECT {P_COLS} FROM proposes u JOIN n_paper p ON u.src = p.arxiv_id WHERE u.dst = {PICK_METHOD}"),
     "papers_by_author": B.star_sql(f"SELECT {P_COLS} FROM wrote u JOIN n_paper p ON u.dst = p.arxiv_id WHERE u.src = '{AUTHOR}'"),
     "methods_by_topic": B.star_sql(f"SELECT m.name AS method, array_to_string(list_sort(list_distinct(list(p.arxiv_id))), '|') AS papers, count(DISTINCT p.arxiv_id) AS paper_count FROM includes i JOIN n_paper p ON i.dst = p.arxiv_id JOIN proposes r ON r.src = p.arxiv_id JOIN n_method m ON r.dst = m.name WHERE i.src = '{TOPIC}' GROUP BY 1"),
-    "datasets_for_method": "SELECT '' AS dataset WHERE false",
+    "datasets_for_method": B.star_sql(f"SELECT dst AS dataset FROM evaluated_on WHERE src = {PICK_METHOD}"),
     "tables_by_paper": B.star_sql(f"SELECT t.element_id, {_tables_cols}, t.col_count AS cols, t.row_count AS rows, t.is_benchmark FROM has_table h JOIN n_table t ON h.dst = t.element_id WHERE h.src = '{PAPER}'"),
     "benchmark_tables_by_topic": B.star_sql(f"SELECT p.title AS paper_title, p.arxiv_id, t.element_id, {_tables_cols} FROM includes i JOIN n_paper p ON i.dst = p.arxiv_id JOIN has_table h ON h.src = p.arxiv_id JOIN n_table t ON h.dst = t.element_id WHERE t.is_benchmark AND i.src = '{TOPIC}'"),
     "equations_by_paper": B.star_sql(f"SELECT t.element_id, t.latex, t.page_number AS page, t.source FROM has_equation h JOIN n_equation t ON h.dst = t.element_id WHERE h.src = '{PAPER}'"),
     "figures_by_paper": B.star_sql(f"SELECT t.element_id, t.fig_number, t.caption, t.image_path, t.page_number AS page FROM has_figure h JOIN n_figure t ON h.dst = t.element_id WHERE h.src = (SELECT CAST(min(l_orderkey) AS VARCHAR) FROM lineitem WHERE l_linestatus = 'O')"),
     "graph_stats": B.star_sql(" UNION ALL ".join(f"SELECT '{n}' AS label, count(*) AS count FROM n_{n.lower()}" for n in ("Topic", "Paper", "Author", "Method", "Dataset", "Concept", "Table", "Figure", "Equation"))),
-    "relationship_stats": B.star_sql(" UNION ALL ".join(f"SELECT '{n}' AS relationship, count(*) AS count FROM {n.lower()}" for n in ("INCLUDES", "WROTE", "PROPOSES", "USES_DATASET", "MENTIONS", "HAS_TABLE", "HAS_FIGURE", "HAS_EQUATION"))),
-    "graph_totals": B.star_sql("SELECT CAST((SELECT count(*) FROM n_topic) + (SELECT count(*) FROM n_paper) + (SELECT count(*) FROM n_author) + (SELECT count(*) FROM n_method) + (SELECT count(*) FROM n_dataset) + (SELECT count(*) FROM n_concept) + (SELECT count(*) FROM n_table) + (SELECT count(*) FROM n_figure) + (SELECT count(*) FROM n_equation) AS BIGINT) AS all_label, CAST((SELECT count(*) FROM includes) + (SELECT count(*) FROM wrote) + (SELECT count(*) FROM proposes) + (SELECT count(*) FROM uses_dataset) + (SELECT count(*) FROM mentions) + (SELECT count(*) FROM has_table) + (SELECT count(*) FROM has_figure) + (SELECT count(*) FROM has_equation) AS BIGINT) AS all_type"),
+    "relationship_stats": B.star_sql(" UNION ALL ".join(f"SELECT '{n}' AS relationship, count(*) AS count FROM {n.lower()}" for n in ("INCLUDES", "WROTE", "PROPOSES", "USES_DATASET", "MENTIONS", "EVALUATED_ON", "HAS_TABLE", "HAS_FIGURE", "HAS_EQUATION"))),
+    "graph_totals": B.star_sql("SELECT sum(n) FILTER (WHERE node) AS all_label, sum(n) FILTER (WHERE NOT node) AS all_type, string_agg(name || '=' || n, '|' ORDER BY name) FILTER (WHERE node) AS by_label, string_agg(name || '=' || n, '|' ORDER BY name) FILTER (WHERE NOT node) AS by_type FROM (" + " UNION ALL ".join(f"SELECT {node} AS node, '{name}' AS name, count(*) AS n FROM {from_}" for node, name, from_ in [*(("true", k, f"n_{k.lower()}") for k in G.KEYS), *(("false", k, k.lower()) for k in G.EDGES if k.lower() in B.STAR_SQL)]) + ")").replace("sum(n) FILTER (WHERE node)", "CAST(sum(n) FILTER (WHERE node) AS BIGINT)").replace("sum(n) FILTER (WHERE NOT node)", "CAST(sum(n) FILTER (WHERE NOT node) AS BIGINT)"),
     "context_for_paper": _context_sql(f"SELECT * FROM n_paper WHERE arxiv_id = '{PAPER}'", "c.title, c.abstract, c.published", ALL, {"equations": None, "tables": 3, "figure_captions": 5}),
     "context_for_topic": _context_sql(f"SELECT p.* FROM {TOPIC_JOIN} ORDER BY published DESC, arxiv_id LIMIT 10", "c.arxiv_id, c.title, c.abstract", ["methods", "datasets", "authors"]),
     "context_all_papers": _context_sql("SELECT * FROM n_paper ORDER BY published DESC, arxiv_id LIMIT 10", "c.arxiv_id, c.title, c.abstract, c.published", ALL),
@@ -332,19 +365,21 @@ ORACLE_SQL = {
     "filter_text_lines": f"WITH {B.LINES_SQL} SELECT kind, count(*) AS n FROM lines WHERE {KEEPS_SQL} GROUP BY 1",
     "classify_section": f"WITH {B.LINES_SQL} SELECT {SECTION_SQL} AS section, kind, count(*) AS n FROM lines GROUP BY 1, 2",
     "section_carry_forward": CARRY_SQL,
-    "text_elements": f"WITH {B.LINES_SQL}, t AS (SELECT line, {LINE_TYPE_SQL} AS raw_type FROM lines) SELECT CASE WHEN raw_type = 'Title' THEN 'title' ELSE 'text' END AS element_type, CASE WHEN raw_type = 'Title' THEN {SECTION_SQL} ELSE 'body' END AS section, count(*) AS n, CAST(sum(CASE WHEN line LIKE 'We train BERT%' THEN 2 ELSE 0 END) AS BIGINT) AS methods FROM t WHERE raw_type IN ('Title', 'NarrativeText') AND {KEEPS_SQL} GROUP BY 1, 2",
+    "text_elements": f"WITH {B.LINES_SQL}, t AS (SELECT line, {LINE_TYPE_SQL} AS raw_type FROM lines) SELECT CASE WHEN raw_type = 'Title' THEN 'title' ELSE 'text' END AS element_type, CASE WHEN raw_type = 'Title' THEN {SECTION_SQL} ELSE 'body' END AS section, count(*) AS n, CAST(sum(len({_mention_list_sql(T.METHODS, 2)})) AS BIGINT) AS methods FROM t WHERE raw_type IN ('Title', 'NarrativeText') AND {KEEPS_SQL} GROUP BY 1, 2",
     "word_counts": f"WITH {B.DOCUMENT_LINES_SQL} SELECT paper_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(len(regexp_extract_all(line, '[^{SPACE_CLASS}]+')) AS BIGINT) AS words FROM dl",
     "dataset_mentions": _mention_sql(T.DATASETS, 2),
     "metric_mentions": _mention_sql(T.METRICS, 1),
     "method_mentions": _mention_sql(T.METHODS, 2),
+    "entity_map": f"WITH {B.LINES_SQL}, one AS (SELECT line, count(*) AS n FROM lines GROUP BY 1) SELECT line, {_entities_sql()} AS entities, n FROM one",
     "document_metric_mentions": f"WITH {B.DOCUMENT_LINES_SQL}, e AS (SELECT paper_id, unnest(list_distinct(list_filter(regexp_extract_all({ASCII_LINE}, {_sql_re('(?i)' + T.mention_pattern(T.METRICS))}), lambda x: length(x) > 1))) AS name FROM dl) SELECT name, count(*) AS n, count(DISTINCT paper_id) AS papers FROM e GROUP BY 1",
     "normalise_types": "WITH k AS (SELECT [" + ", ".join(f"'{v}'" for v in [*T.RAW_TYPES.values(), "text"]) + "][event_id % 14 + 1] AS kind FROM events) SELECT kind, count(*) AS n FROM k GROUP BY 1",
     "type_breakdown": f"WITH {B.LINES_SQL}, t AS (SELECT {LINE_TYPE_SQL} AS r FROM lines) SELECT CASE r WHEN 'FigureCaption' THEN 'caption' WHEN 'Title' THEN 'title' WHEN 'Formula' THEN 'equation' ELSE 'text' END AS kind, count(*) AS n FROM t GROUP BY 1",
     "benchmark_table_test": f"WITH {B.TABLES_SQL} SELECT contains(headers[2], 'accuracy') OR contains(headers[2], 'map') AS benchmark, contains(headers[2], 'accuracy') AS by_word, count(*) AS n FROM tabs GROUP BY 1, 2",
     "table_to_text": f"WITH {B.TABLES_SQL} SELECT headers[1] || ' | ' || headers[2] || chr(10) || repeat('-', length(headers[1]) + length(headers[2]) + 6) || chr(10) || p_name || ' | ' || qty AS content, count(*) AS n FROM tabs GROUP BY 1",
-    "header_split": f"WITH {B.TABLES_SQL} SELECT headers[1] || '|' || headers[2] AS headers, CAST(1 AS INTEGER) AS n_rows, count(*) AS n FROM tabs GROUP BY 1",
+    "header_split": f"""WITH {B.TABLES_SQL}, r AS (SELECT ordinal % 3 AS k, headers[1] || '|' || headers[2] AS h, p_name || '|' || qty AS c FROM tabs)
+SELECT CASE k WHEN 0 THEN h ELSE '' END AS headers, CASE k WHEN 0 THEN c WHEN 1 THEN c || '/' || h ELSE h END AS rest, CASE k WHEN 1 THEN '' ELSE h END AS headers_of_text, CASE k WHEN 0 THEN c WHEN 1 THEN c || '/' || h ELSE '' END AS rest_of_text, count(*) AS n FROM r GROUP BY 1, 2, 3, 4""",
     "table_source_precedence": TABLE_SOURCE_SQL,
-    "html_table_parse": "SELECT 'Page|Size' AS headers, page_id || '|' || length(html) AS cells FROM pages",
+    "html_table_parse": "SELECT CASE page_id % 3 WHEN 0 THEN 'Page|Size' WHEN 1 THEN '' ELSE 'Page and url' END AS headers, CASE page_id % 3 WHEN 0 THEN page_id || '|' || length(html) WHEN 1 THEN '7.5|' || page_id || '|x|' || length(html) ELSE page_id || '&' || length(html) || '|' END AS cells FROM pages",
     "equation_fallback": f"WITH {B.LINES_SQL} SELECT CASE kind WHEN 4 THEN line || '   end' ELSE line || ' end' END AS latex, CASE kind WHEN 4 THEN 'latex_hint' ELSE 'raw_text' END AS source, count(*) AS n FROM lines WHERE kind IN (4, 7) GROUP BY 1, 2",
     "caption_parse": f"WITH {B.LINES_SQL} SELECT DISTINCT line, regexp_extract(line, '^(Figure|Table) [0-9]+') AS number FROM lines WHERE kind IN (0, 1)",
     "caption_match": CAPTION_SQL + " SELECT paper_id, page_number, fig_counter, caption FROM m",
@@ -368,3 +403,25 @@ def _route_sql(words, other: str) -> str:
 
 
 ORACLE_SQL |= {"query_type": _route_sql(R.QUESTION_WORDS, "general"), "rich_query_type": _route_sql(R.RICH_WORDS, "text")}
+
+QUERIES |= W.QUERIES
+ORACLE_SQL |= {
+    "build_graph": W.BUILD_SQL,
+    "stored_graph": W.STORED_SQL,
+    "route_elements": f"""WITH {B.LINES_SQL}, t AS (SELECT line, {LINE_TYPE_SQL} AS r FROM lines) SELECT CASE r WHEN 'Title' THEN 'title' ELSE 'text' END AS what, count(*) AS n FROM t WHERE r IN ('Title', 'NarrativeText') AND {KEEPS_SQL} GROUP BY 1
+ UNION ALL SELECT 'caption: RuntimeError: no captions today', 1 UNION ALL SELECT 'left: equation', count(*) FROM t WHERE r = 'Formula'""",
+    "route_pages": f"WITH {B.LINES_SQL}, t AS (SELECT line, {LINE_TYPE_SQL} AS r FROM lines) SELECT CASE r WHEN 'Title' THEN 'title' WHEN 'Formula' THEN 'equation' WHEN 'FigureCaption' THEN 'caption' ELSE 'text' END AS element_type, count(*) AS n FROM t WHERE r IN ('Formula', 'FigureCaption') OR {KEEPS_SQL} GROUP BY 1",
+    "route_report": W.REPORT_SQL,
+    "search_cache_round_trip": W.CACHE_SQL,
+    "batch_round_trip": W.BATCH_SQL,
+    "extraction_round_trip": "SELECT CAST(n_regionkey AS VARCHAR) AS paper_id, count(*) AS elements, CAST(sum(n_nationkey) AS BIGINT) AS pages, min(n_name) AS first, CAST(1 AS INTEGER) AS errors FROM nation GROUP BY 1",
+    "pdf_report": "WITH v AS (SELECT o_orderkey || '.pdf' AS name, o_orderkey * 1024 AS length FROM orders WHERE o_orderkey % 3 <> 0) SELECT count(*) AS files, CAST(sum(length) AS BIGINT) / 1048576.0::DOUBLE AS mb, (SELECT string_agg(name, '|' ORDER BY name) FROM (SELECT name FROM v ORDER BY name LIMIT 10)) AS names FROM v",
+    "answer_parts": W.PARTS_SQL,
+    "first_seen_groups": W.GROUPS_SQL,
+    "element_summary": f"""WITH {B.LINES_SQL}, t AS (SELECT paper_id, {LINE_TYPE_SQL} AS r FROM lines), k AS (SELECT paper_id, CASE r WHEN 'FigureCaption' THEN 'caption' WHEN 'Title' THEN 'title' WHEN 'Formula' THEN 'equation' ELSE 'text' END AS kind, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT paper_id, string_agg(kind || ': ' || n, ', ' ORDER BY kind || ': ' || n) AS summary FROM k GROUP BY 1""",
+    "raw_type_counts": f"WITH {B.LINES_SQL} SELECT {LINE_TYPE_SQL} AS raw_type, count(*) AS n FROM lines GROUP BY 1",
+    "ask_sources": B.star_sql(W.ASKED_SQL),
+    "rich_content": ORACLE_SQL["rich_tables"],
+    "retrieve_papers": B.star_sql("SELECT p.arxiv_id, p.title, p.published, (SELECT count(DISTINCT dst) FROM proposes WHERE src = p.arxiv_id) AS methods FROM n_paper p ORDER BY p.published DESC, p.arxiv_id LIMIT 7"),
+}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.naming import cache_key, valid_pdf
+from ..functions.naming import author_label, cache_key, ellipsis, valid_pdf
 from ..functions.text import py_strip
 
 PAPER = "arxiv_id string, title string, authors array<string>, abstract string, categories array<string>, published string, updated string, pdf_url string, entry_url string, primary_category string, comment string, doi string, journal_ref string, local_pdf_path string, download_status string"
@@ -14,8 +14,13 @@ EXTRACTION = f"paper_id string, pdf_path string, timestamp string, stats map<str
 
 
 def read_search_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Files with a JSON array of papers."""
-    return spark.read.schema(PAPER).option("multiLine", True).json(path)
+    """Files with a JSON array of papers, or what write_search_cache wrote."""
+    return spark.read.schema(PAPER).option("multiLine", not path.endswith(".json") or _is_file(spark, path)).json(path)
+
+
+def _is_file(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
@@ -64,3 +69,9 @@ def download_status(papers: DataFrame, files: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """S21."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def listing(papers: DataFrame, order: list[Column]) -> DataFrame:
+    """The numbered lines of a search's result (100 papers at most): id, title, first author and how many more, category, day."""
+    number = F.row_number().over(Window.orderBy(*order))
+    return papers.select(number.alias("index"), "arxiv_id", ellipsis(F.col("title")).alias("title"), author_label(F.col("authors")).alias("author"), F.col("primary_category").alias("category"), F.substring("published", 1, 10).alias("day"))

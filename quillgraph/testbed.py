@@ -50,6 +50,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         "PROPOSES": edge(items.join(parts, F.col("l_partkey") == F.col("p_partkey")), F.col("paper_id"), F.col("name")),
         "USES_DATASET": edge(items.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")), F.col("paper_id"), F.col("s_name")),
         "MENTIONS": orders.select(S("o_orderkey").alias("src"), F.lower("o_orderpriority").alias("dst")),
+        "EVALUATED_ON": edge(items.where("l_returnflag = 'R'").join(parts, F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")), F.col("name"), F.col("s_name")),
         "HAS_TABLE": edge(items, F.col("paper_id"), F.col("element_id")),
         "HAS_FIGURE": edge(of("l_linestatus = 'O'"), F.col("paper_id"), F.col("element_id")),
         "HAS_EQUATION": edge(of("l_linestatus = 'F'"), F.col("paper_id"), F.col("element_id")),
@@ -77,6 +78,7 @@ STAR_SQL = {
     "proposes": "SELECT DISTINCT paper_id AS src, p_brand || '/' || p_type AS dst FROM items JOIN part ON l_partkey = p_partkey",
     "uses_dataset": "SELECT DISTINCT paper_id AS src, s_name AS dst FROM items JOIN supplier ON l_suppkey = s_suppkey",
     "mentions": "SELECT CAST(o_orderkey AS VARCHAR) AS src, lower(o_orderpriority) AS dst FROM orders",
+    "evaluated_on": "SELECT DISTINCT p_brand || '/' || p_type AS src, s_name AS dst FROM items JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'",
     "has_table": "SELECT DISTINCT paper_id AS src, element_id AS dst FROM items",
     "has_figure": "SELECT DISTINCT paper_id AS src, element_id AS dst FROM items WHERE l_linestatus = 'O'",
     "has_equation": "SELECT DISTINCT paper_id AS src, element_id AS dst FROM items WHERE l_linestatus = 'F'",
@@ -87,6 +89,20 @@ def star_sql(select: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in STAR_SQL.items()) + "\n" + select
 
 
+#: Lines with names from the lexicons; one of them for each part in turn.
+MENTION_LINES = (
+    "We train BERT and ResNet-50 on ImageNet and COCO with mAP",
+    "GPT-4 reaches 71.2 BLEU-4 and ROUGE-L on WMT-14",
+    "Swin Transformer and ViT on ADE20K, mIoU and FPS",
+    "Nothing to see here, only words that mention none",
+    "top-1 accuracy of EfficientNet-B7 on CIFAR-100 and MNIST",
+    "StyleGAN2, DDPM and CLIP: FID and LPIPS on FFHQ",
+    "Faster R-CNN, YOLOv5 and DETR compared on MS COCO by AP50",
+    "RoBERTa and T5 on SQuAD 2.0 and GLUE, F1-score and perplexity",
+    "precision, recall; recall, precision on KITTI",
+)
+
+
 def generated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Testbed C: (paper_id, page_number, ordinal, line, l_*)."""
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -98,17 +114,18 @@ def generated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("References and appendix list"),
         F.concat(F.lit("loss = "), S("l_partkey"), F.lit(" + x_{i}")),
         F.concat(F.lit("["), S("l_linenumber"), F.lit("] Someone et al.")),
-        F.lit("We train BERT and ResNet-50 on ImageNet and COCO with mAP"),
+        F.element_at(F.array(*map(F.lit, MENTION_LINES)), (F.col("l_partkey") % len(MENTION_LINES) + 1).cast("int")),
         F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(" narrative sentence")),
     ]
     line = F.element_at(F.array(*made), (kind + 1).cast("int"))
     return joined.select(S("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("page_number"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("ordinal"), line.alias("line"), kind.alias("kind"), "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("qty"), "p_type", "p_name", "p_brand")
 
 
-LINES_SQL = """lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS paper_id, l_linenumber AS page_number, l_partkey * 100000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS ordinal,
+_MENTIONS_SQL = "[" + ", ".join(f"'{x}'" for x in MENTION_LINES) + f"][l_partkey % {len(MENTION_LINES)} + 1]"
+LINES_SQL = f"""lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS paper_id, l_linenumber AS page_number, l_partkey * 100000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS ordinal,
  (l_partkey + l_linenumber) % 8 AS kind, CASE (l_partkey + l_linenumber) % 8 WHEN 0 THEN 'Figure ' || (l_partkey % 12) || ': view of ' || p_name WHEN 1 THEN 'Table ' || (l_suppkey % 9) || '. accuracy of ' || p_brand
- WHEN 2 THEN l_linenumber || ' Introduction to ' || p_name WHEN 3 THEN 'References and appendix list' WHEN 4 THEN 'loss = ' || l_partkey || ' + x_{i}' WHEN 5 THEN '[' || l_linenumber || '] Someone et al.'
- WHEN 6 THEN 'We train BERT and ResNet-50 on ImageNet and COCO with mAP' ELSE p_name || ' ' || p_type || ' narrative sentence' END AS line,
+ WHEN 2 THEN l_linenumber || ' Introduction to ' || p_name WHEN 3 THEN 'References and appendix list' WHEN 4 THEN 'loss = ' || l_partkey || ' + x_{{i}}' WHEN 5 THEN '[' || l_linenumber || '] Someone et al.'
+ WHEN 6 THEN {_MENTIONS_SQL} ELSE p_name || ' ' || p_type || ' narrative sentence' END AS line,
  l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS INTEGER) AS qty, p_type, p_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
