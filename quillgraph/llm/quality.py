@@ -9,7 +9,8 @@ What EM needs of the corpus is how many texts show each pattern of votes: at mos
 
 Defined results: null and empty texts have no words and fail the base rule. Whole texts are read,
 whatever their length. Equal texts get equal results. An empty table gives an empty table. Other
-columns pass through.
+columns pass through, but those named like an added one (a feature, vote_<rule>, quality_p, base_failed, kept) are
+replaced by it.
 """
 
 from __future__ import annotations

@@ -51,6 +51,8 @@ MORE_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Matches of a text whose places are added up together.
+PIECE = 256
 
 
 def _strings(part, limit: int = 64) -> set[str] | None:
@@ -137,7 +139,14 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["counts"] >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(joined, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    # arrays grow by being copied, so matches are taken in pieces, which are put one behind the other afterwards
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a lambda's argument is computed once
+    last = lambda all_: F.greatest(F.ceil(F.size(all_) / PIECE).cast("int"), F.lit(1)) - 1
+    pieces = lambda all_: F.transform(F.sequence(F.lit(0), last(all_)), lambda c: F.aggregate(F.slice(all_, c * PIECE + 1, PIECE), F.struct(F.lit(0).alias("at"), none.alias("found")), step))
+    along = lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+    starts = lambda given: F.aggregate(given, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), along)["starts"]
+    moved = lambda p, at: F.transform(p["found"], lambda f: F.struct((f["start"] + at).alias("start"), f["ord"].alias("ord"), f["kind"].alias("kind"), (f["end"] + at).alias("end")))
+    return once(joined, lambda all_: once(pieces(all_), lambda given: F.flatten(F.zip_with(given, starts(given), moved))))
 
 
 def _probe(rule: Rule) -> str:

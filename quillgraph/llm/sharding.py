@@ -166,7 +166,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", tex
         inside = Window.partitionBy("bytes", "_block").orderBy("_group")
         ranked = groups.withColumn("_n", F.row_number().over(inside) - 1).join(starts, (F.col("bytes") == F.col("_s")) & (F.col("_block") == F.col("_b")))
         rank = F.col("_start") + F.col("_n")
-        found = cut(ranked.join(F.broadcast(runs), (F.col("bytes") == F.col("_bytes")) & (rank >= F.col("_lo")) & (rank < F.col("_hi"))).select(F.col("_group").alias("_g"), "bytes", "n", "shard"))
+        found = cut(ranked.join(runs, (F.col("bytes") == F.col("_bytes")) & (rank >= F.col("_lo")) & (rank < F.col("_hi"))).select(F.col("_group").alias("_g"), "bytes", "n", "shard"))
         keep(rows, found)
     hot = (F.col("bytes") * PARTS > all_bytes) | (F.col("n") * PARTS > all_rows)  # fewer than 2 * PARTS groups, whose rows stay where they are
     own = F.broadcast(found.where(hot).select("_g", "shard"))

@@ -66,6 +66,43 @@ def test_quality_agrees_with_labels(spark, sf_dir):
     assert n.get((0, False), 0) / (n.get((0, True), 0) + n.get((0, False), 0)) > 0.75
 
 
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 5, "y")], "doc_id long, text string, kept string, n_words int, other string")
+    row = Q.score_quality(df).first()
+    assert (row["kept"], row["n_words"], row["other"], row["base_failed"]) == (False, 2, "y", True)
+
+
+def test_posterior_equals_text_by_text_estimation(spark, sf_dir):
+    """quality_p and kept against expectation-maximisation written out over texts and rules, not over patterns of votes."""
+    rules = list(Q.rules())
+    rows = Q.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_columns=["doc_id"]).collect()
+    votes = [[r[f"vote_{k}"] for k in rules] for r in rows]
+    good = [0.2 if 0 in v else 0.95 for v in votes]
+    right = {0: [0.4] * len(rules), 1: [0.95] * len(rules)}
+    for _ in range(100):
+        prior, before = min(max(sum(good) / len(good), 0.05), 0.95), [list(right[0]), list(right[1])]
+        for y, mean in ((0, 0.4), (1, 0.95)):
+            for j in range(len(rules)):
+                weight = [(p if y else 1 - p) / len(good) for p in good]
+                voted = sum(w for w, v in zip(weight, votes, strict=True) if v[j] != 2)
+                hit = sum(w for w, v in zip(weight, votes, strict=True) if v[j] == y)
+                right[y][j] = (hit + 0.005 * mean) / (voted + 0.005)
+        right[1] = [min(max(a, 0.5), 0.995) for a in right[1]]
+        right[0] = [min(max(a, 1 - b), 0.995) for a, b in zip(*(right[0], right[1]), strict=True)]
+        for i, v in enumerate(votes):
+            yes, no = prior, 1 - prior
+            for j, x in enumerate(v):
+                if x != 2:
+                    yes *= right[1][j] if x == 1 else 1 - right[1][j]
+                    no *= right[0][j] if x == 0 else 1 - right[0][j]
+            good[i] = yes / (yes + no)
+        if max(abs(a - b) for y in (0, 1) for a, b in zip(before[y], right[y], strict=True)) < 1e-7:
+            break
+    for r, p in zip(rows, good, strict=True):
+        assert r["quality_p"] == pytest.approx(p, abs=1e-6)
+        assert r["kept"] == (not r["base_failed"] and p >= 0.5)
+
+
 def labelled(n, seed):
     rnd = random.Random(seed)
     out = []

@@ -35,6 +35,12 @@ def test_spans_equal_re(spark):
     assert seen == {r.kind for r in RULES}
 
 
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"é token={'ab' * (i % 5)}{i} AKIA{'Z' * (i % 30)}" for i in range(6_000))
+    ((_, found),) = got(find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    assert found == spans_of(text) and len(found) > 6_000
+
+
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: r.kind)
 def test_queries_are_mandatory(rule):
     clauses = trigram_query(rule.regex)
