@@ -4,7 +4,7 @@ import math
 import random
 import re
 
-from quillgraph.llm.license_scan import BASE, NOTICES, SHARE, Template, _places, scan_licenses
+from quillgraph.llm.license_scan import BASE, NOTICES, SHARE, Template, _places, document_counts, scan_licenses
 
 
 def plain(text):
@@ -73,3 +73,9 @@ def test_odd_rows(odd_docs, no_docs):
 def test_plan_is_native(odd_docs):
     plan = scan_licenses(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_document_counts(spark):
+    rows = [(1, "MIT license, licenses; mit-License"), (2, "Apache LICENSE é mité license2 license"), (3, None), (4, ""), (5, "by\x1fcc ccby")]
+    got = document_counts(spark.createDataFrame(rows, "doc_id long, text string"), ["license", "mit", "by", "cc", "gnu"])
+    assert got == {"license": 2, "mit": 1, "by": 1, "cc": 1, "gnu": 0}
