@@ -16,7 +16,6 @@ columns pass through unless an added column has their name.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import packed, unpacked
 
 #: Words after lower-casing A-Z: digits, a-z and everything beyond ASCII. Here with A-Z, as words are lower-cased one by one.
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Said by what is in them: java.util.regex takes ten times as long for the negation of several ranges.
+WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 @dataclass(frozen=True)
@@ -73,13 +73,9 @@ def _postings(words: Column, vocabulary: list[str]) -> Column:
 
 
 def document_counts(docs: DataFrame, vocabulary: list[str], text: str = "text") -> dict[str, int]:
-    """How many texts hold each word, over all of them. One search finds just the vocabulary's words, by their first letters."""
-    starts: dict[str, list[str]] = {}
-    for w in vocabulary:
-        starts.setdefault(w[0], []).append(re.escape(w[1:]))
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    any_of = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(starts.items()))
-    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"(?<!{word})(?:{any_of})(?!{word})"), F.lit(0)))
+    """How many texts hold each word, over all of them."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDS), F.lit(0))
+    held = F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
     rows = docs.select(F.explode(held).alias("w")).groupBy("w").count().collect()
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in rows}
 
