@@ -266,7 +266,15 @@ class Bpe:
             one = _of(key, sent, remembered_words)
             return pd.Series([None if p is None else one.decode(p) for p in packed], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids binary, decoded string")
+        def both(texts: pd.Series) -> pd.DataFrame:
+            one = _of(key, sent, remembered_words)
+            ids = one.encode_batch(texts)
+            out = pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([one.decode(p) for p in ids], dtype=object)})
+            give_back()
+            return out
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         """Ids as packed little-endian unsigned 32-bit integers."""
@@ -275,11 +283,16 @@ class Bpe:
     def decode(self, packed: Column) -> Column:
         return self._decode(packed)
 
+    def both(self, text: Column) -> Column:
+        """struct<ids, decoded>: what encode() gives and what decode() makes of it. decode(encode(...)) beside encode(...) would encode twice."""
+        return self._both(text)
+
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", remembered_words: int = REMEMBERED_WORDS) -> DataFrame:
     """Adds each text's packed ids and what they decode to; columns of these names are replaced."""
     bpe = Bpe(docs.sparkSession, path, remembered_words)
-    return docs.withColumn(ids, bpe.encode(F.col(text))).withColumn(decoded, bpe.decode(F.col(ids)))
+    made = bpe.both(F.col(text))
+    return docs.withColumns({ids: made["ids"], decoded: made["decoded"]})
 
 
 def ids_of(packed: bytes) -> list[int]:
