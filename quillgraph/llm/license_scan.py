@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import packed, unpacked
 
 #: Words after lower-casing A-Z: digits, a-z and everything beyond ASCII. Here with A-Z, as words are lower-cased one by one.
-#: Said by what is in them: java.util.regex takes ten times as long for the negation of several ranges.
+#: Said by what is in them: java.util.regex takes many times as long for the negation of several ranges.
 WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
