@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,17 +55,33 @@ def _note(table: DataFrame, path: str) -> DataFrame:
     return table
 
 
+def clean_driver(spark: SparkSession) -> None:
+    """Collects the driver's garbage and returns memory that its JVM has freed outside the heap to the system.
+
+    Its hundreds of threads allocate from many arenas of the C library, which keep what is freed, so that a long row of jobs
+    adds up. A JVM without the command, or with another C library, only collects its garbage.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        call = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        call = next(m for m in call.getMethods() if m.getName() == "invoke")  # by its interface, as the class itself is closed to other modules
+        given = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows as Parquet to the shared folder and returns them read again.
 
     It ends the lineage, so a lost executor costs no more than rereading files, and it keeps what
     several later plans use from being computed for each of them. Then the driver collects its garbage,
-    which lets Spark delete shuffle files of plans that ended.
+    which lets Spark delete shuffle files of plans that ended, and returns its free memory to the system.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    clean_driver(spark)
     return _note(spark.read.schema(df.schema).parquet(path), path)
 
 
@@ -74,7 +91,7 @@ def store(df: DataFrame, key: str, total: int) -> DataFrame:
     parts, name = max(2 * spark.sparkContext.defaultParallelism, -(-total // STORED_BYTES)), f"quillgraph_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     df.repartition(parts, key).write.format("parquet").option("compression", "zstd").bucketBy(parts, key).option("path", path).saveAsTable(name)
-    spark.sparkContext._jvm.System.gc()
+    clean_driver(spark)
     out = _note(spark.table(name), path)
     out._quillgraph_parts = parts
     return out
